@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from heliograph.llm.decontaminate import op3_benchmark_ngrams
 from heliograph.llm.sharding import op2_sampled_splitters
+from heliograph.llm.simhash import op6_byte_position_simhash
 
-QUERIES = {f.__name__: f for f in (op2_sampled_splitters,)}
+QUERIES = {f.__name__: f for f in (op2_sampled_splitters, op3_benchmark_ngrams, op6_byte_position_simhash)}
 SQL: dict[str, str] = {}
