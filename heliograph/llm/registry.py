@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from heliograph.llm.ann import op4_cross_polytope
 from heliograph.llm.decontaminate import op3_benchmark_ngrams
 from heliograph.llm.packing import op5_vector_packing
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
 from heliograph.llm.token_counts import op10_pretoken_counts
+from heliograph.llm.warc import op9_gzip_normaliser
 
 QUERIES = {
     f.__name__: f
     for f in (
         op2_sampled_splitters,
         op3_benchmark_ngrams,
+        op4_cross_polytope,
         op5_vector_packing,
         op6_byte_position_simhash,
+        op9_gzip_normaliser,
         op10_pretoken_counts,
     )
 }
