@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from heliograph.llm.ann import op4_cross_polytope
 from heliograph.llm.decontaminate import op3_benchmark_ngrams
+from heliograph.llm.language_id import op8_kneser_ney
 from heliograph.llm.packing import op5_vector_packing
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
@@ -18,6 +19,7 @@ QUERIES = {
         op4_cross_polytope,
         op5_vector_packing,
         op6_byte_position_simhash,
+        op8_kneser_ney,
         op9_gzip_normaliser,
         op10_pretoken_counts,
     )
