@@ -5,6 +5,8 @@ from __future__ import annotations
 from heliograph.llm.ann import op4_cross_polytope
 from heliograph.llm.decontaminate import op3_benchmark_ngrams
 from heliograph.llm.language_id import op8_kneser_ney
+from heliograph.llm.line_dedup import SQL as LINE_SQL
+from heliograph.llm.line_dedup import op7_line_templates
 from heliograph.llm.packing import op5_vector_packing
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
@@ -19,9 +21,10 @@ QUERIES = {
         op4_cross_polytope,
         op5_vector_packing,
         op6_byte_position_simhash,
+        op7_line_templates,
         op8_kneser_ney,
         op9_gzip_normaliser,
         op10_pretoken_counts,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {op7_line_templates.__name__: LINE_SQL}
