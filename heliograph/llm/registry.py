@@ -8,6 +8,7 @@ from heliograph.llm.language_id import op8_kneser_ney
 from heliograph.llm.line_dedup import SQL as LINE_SQL
 from heliograph.llm.line_dedup import op7_line_templates
 from heliograph.llm.packing import op5_vector_packing
+from heliograph.llm.quotes import op1_quotation_links
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
 from heliograph.llm.token_counts import op10_pretoken_counts
@@ -16,6 +17,7 @@ from heliograph.llm.warc import op9_gzip_normaliser
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quotation_links,
         op2_sampled_splitters,
         op3_benchmark_ngrams,
         op4_cross_polytope,
