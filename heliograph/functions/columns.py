@@ -178,7 +178,7 @@ def similarity_pct(distance) -> Column:
 
 def progress_pct(done, found) -> Column:
     share = F.floor(_c(done) * 100.0 / F.nullif(_c(found), F.lit(0)) + 0.5)
-    return F.coalesce(F.least(F.lit(100), share), F.lit(0)).cast("int")
+    return F.when(share.isNull(), 0).otherwise(F.least(F.lit(100), share)).cast("int")
 
 
 # -- geography -------------------------------------------------------------------

@@ -4,33 +4,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
 
-
-def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-PHOTOS = _table(
+# Schemas are DDL texts, which readers take as they are: importing this module needs no session.
+PHOTOS = (
     "id long, root_id int, path string, directory string, filename string, ext string, mime string, size_bytes long, mtime_ns long, width int, height int, "
     "captured_at timestamp_ntz, camera_make string, camera_model string, latitude double, longitude double, city string, region string, country string, "
     "place_distance_km float, exif string, sha256 string, phash long, status string, marked_for_deletion boolean, last_error string, created_at timestamp, updated_at timestamp"
 )
-SCAN_ROOTS = _table("id int, path string, enabled boolean, created_at timestamp")
-SCANS = _table(
+SCAN_ROOTS = ("id int, path string, enabled boolean, created_at timestamp")
+SCANS = (
     "id long, status string, root_ids array<int>, files_found int, files_processed int, files_added int, files_changed int, files_unchanged int, files_missing int, "
     "files_moved int, error_count int, current_path string, message string, started_at timestamp, finished_at timestamp, created_at timestamp"
 )
-SCAN_ERRORS = _table("id long, scan_id long, path string, error string, created_at timestamp")
-GROUPS = _table("id long, kind string, key string, status string, keeper_photo_id long, created_at timestamp, updated_at timestamp")
-MEMBERS = _table("group_id long, photo_id long, similarity_pct int")
-DECISIONS = _table("group_id long, photo_id long, decision string, decided_at timestamp")
-FILE_OPERATIONS = _table("id long, photo_id long, op string, src_path string, dest_path string, size_bytes long, batch_id string, performed_at timestamp")
-ORGANIZE_RUNS = _table(
+SCAN_ERRORS = ("id long, scan_id long, path string, error string, created_at timestamp")
+GROUPS = ("id long, kind string, key string, status string, keeper_photo_id long, created_at timestamp, updated_at timestamp")
+MEMBERS = ("group_id long, photo_id long, similarity_pct int")
+DECISIONS = ("group_id long, photo_id long, decision string, decided_at timestamp")
+FILE_OPERATIONS = ("id long, photo_id long, op string, src_path string, dest_path string, size_bytes long, batch_id string, performed_at timestamp")
+ORGANIZE_RUNS = (
     "id long, status string, params struct<folders: array<string>, destination: string, mode: string, rename: boolean, skip_duplicates: boolean>, batch_id string, "
     "total int, planned int, moved int, skipped_duplicates int, already_organized int, undated int, failed_count int, est_bytes long, message string"
 )
-DISCOVERED = _table("path string, size_bytes long, mtime_ns long, error string")
+DISCOVERED = ("path string, size_bytes long, mtime_ns long, error string")
 
 # Fixed values of the catalog's domains.
 PHOTO_STATUS = ("active", "missing", "quarantined")

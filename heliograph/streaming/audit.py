@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from heliograph.schemas import FILE_OPERATIONS
 
-def operations_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+
+def operations_stream(spark: SparkSession, path: str, schema: str = FILE_OPERATIONS) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
