@@ -34,6 +34,8 @@ START = 1
 NONE = "und"
 #: The probability floor: characters that no sample has shown share one in this many.
 UNSEEN = 100_000
+#: Nats per character over the mean entropy within which no text is rejected.
+MARGIN = 3.0
 
 
 def _characters() -> np.ndarray:
@@ -196,8 +198,9 @@ class Models:
             best = ce.argmin(axis=1)
             low = ce[np.arange(b - a), best]
             z = np.exp((low[:, None] - ce) * self.temperature)
-            # short texts scatter more: the margin over the largest entropy kept aside grows as they shorten
-            bound = self.most + (self.most - self.mean) * (0.5 + 20 / np.sqrt(np.maximum(counts, 1)))
+            # short texts scatter more: the margin over the largest entropy kept aside grows as they shorten;
+            # a small sample's largest entropy is not trusted below MARGIN over the mean
+            bound = np.maximum(self.most, self.mean + MARGIN) + (self.most - self.mean) * (0.5 + 20 / np.sqrt(np.maximum(counts, 1)))
             none = letters == 0
             langs += [NONE if n else self.langs[i] for n, i in zip(none, best, strict=True)]
             scores += np.where(none, 0.0, 1 / z.sum(axis=1)).tolist()
