@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.tables import read
+from heliograph.llm.tables import read, tidy
 from heliograph.storage import Scratch
 
 ROWS = 4096
@@ -161,7 +161,7 @@ def nearest(
         for dim, (ids, m) in _by_dim([x[0] for x in part], [x[1] for x in part]).items():
             hashes = Hashes(dim, tables, seed)
             by_dim[dim] = (ids, m, [hashes.probes(_unit(m), t, probes) for t in range(tables)], hashes)
-        hits = slim.mapInArrow(_search(spark.sparkContext.broadcast(by_dim), k), "query_id long, vec_id long, score double")
+        hits = slim.mapInArrow(tidy(_search(spark.sparkContext.broadcast(by_dim), k)), "query_id long, vec_id long, score double")
         found = hits if found is None else found.unionByName(hits)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

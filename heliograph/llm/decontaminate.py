@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.tables import extended, read, without
+from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.llm.wordscan import chunks, range_hashes, window_hashes, words_of
 from heliograph.storage import Scratch
 
@@ -51,7 +51,7 @@ def _grams(n: int):
 def benchmark_grams(benchmark: DataFrame, n: int, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (size, hash, gram, item) of the benchmark; null texts and texts without a word give none."""
     slim = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(_grams(n), "size int, hash long, gram string, item string").distinct()
+    return slim.mapInArrow(tidy(_grams(n)), "size int, hash long, gram string, item string").distinct()
 
 
 class _Block:
@@ -146,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "tex
     for b in range(n_blocks):
         own = grams.where(F.pmod("hash", F.lit(n_blocks)) == b) if n_blocks > 1 else grams
         block = spark.sparkContext.broadcast(_Block([tuple(x) for x in own.collect()]))
-        rows = rows.mapInArrow(_scan(block, text), schema)
+        rows = rows.mapInArrow(tidy(_scan(block, text)), schema)
     return rows.select(*[f"`{c}`" for c in base.columns], F.col(STATE[0]).alias("n_words"), F.col(STATE[1]).alias("hit_ranges"), F.col(STATE[2]).alias("hit_items"))
 
 
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     if remove == "documents":
         kept = found.where(F.size("hit_ranges") == 0)
     else:
-        kept = found.mapInArrow(_cut(text), found.schema)
+        kept = found.mapInArrow(tidy(_cut(text)), found.schema)
     return kept.select(*[f"`{c}`" for c in docs.columns if c in kept.columns])
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.tables import extended, read, without
+from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.llm.wordscan import chunks, mixed
 
 #: Stands before the start of every text.
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, models: Models, *, text: str = "text") -> DataFram
     base = without(docs, "lang_pred", "lang_score", "lang_rejected")
     shared = docs.sparkSession.sparkContext.broadcast(models)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
-    return base.mapInArrow(_predicted(shared, text), extended(base, *fields))
+    return base.mapInArrow(tidy(_predicted(shared, text)), extended(base, *fields))
 
 
 def held_out(doc_id: Column) -> Column:

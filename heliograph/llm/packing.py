@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.pretok import PieceCache, Rules, Splitter, rules_from
-from heliograph.llm.tables import read
+from heliograph.llm.tables import read, tidy
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def pack_documents(
     rules = spark.sparkContext.broadcast(rules_from(tokenizer_path))
     types = [to_arrow_type(slim.schema[k].dataType) for k in keys]
     schema = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"])
-    return slim.mapInArrow(_pack(rules, limits, text, list(keys), closing, pool_size, types), schema)
+    return slim.mapInArrow(tidy(_pack(rules, limits, text, list(keys), closing, pool_size, types)), schema)
 
 
 def pack_items(items: list[tuple[int, int]], limits: Limits) -> list[list[int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.tables import extended, read, without
+from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.storage import Scratch
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
@@ -116,7 +116,7 @@ def link_quotes(messages: DataFrame, *, min_words: int = 3, conv: str = "conv_id
     scratch = Scratch(messages.sparkSession, "quotes")
     base = without(messages, *OUT, "__own", "__units", "__quotes")
     fields = [T.StructField("__own", T.StringType()), T.StructField("__units", T.ArrayType(UNIT)), T.StructField("__quotes", T.ArrayType(QUOTE)), T.StructField("n_quotes", T.LongType())]
-    parsed = base.mapInArrow(_parsed(text), extended(base, *fields)).withColumn("message_id", F.xxhash64(conv, turn, text))
+    parsed = base.mapInArrow(tidy(_parsed(text)), extended(base, *fields)).withColumn("message_id", F.xxhash64(conv, turn, text))
     known = parsed.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
     at = F.struct(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col("message_id").alias("m"))
     quotes = scratch.table(known.select(at.alias("me"), F.explode("__quotes").alias("q")).select("me", "q.*"), "quotes")

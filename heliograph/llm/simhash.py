@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.llm.tables import extended, read, without
+from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.llm.wordscan import chunks
 from heliograph.operators.components import connected_components
 from heliograph.storage import Scratch
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, *, shingle: int, seed: int = 42, text: str = "
     """
     base = without(docs, "fp")
     schema = extended(base.drop(text), T.StructField("fp", T.LongType()))
-    return base.mapInArrow(_fingerprints(text, shingle, seed), schema)
+    return base.mapInArrow(tidy(_fingerprints(text, shingle, seed)), schema)
 
 
 def shared_bytes(a: Column, b: Column) -> Column:

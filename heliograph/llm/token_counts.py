@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.llm.pretok import Splitter, rules_from
-from heliograph.llm.tables import extended, read, without
+from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.storage import Scratch
 
 SEEN = 1_000_000
@@ -67,8 +67,8 @@ def _counted(rules):
 def piece_counts(docs: DataFrame, rules, text: str = "text") -> DataFrame:
     """(hash, n): the number of pieces of every distinct pre-token."""
     slim = docs.select(F.col(text).cast("string"))
-    each = slim.mapInArrow(_distinct(rules), "hash long, piece string").groupBy("hash").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
-    return each.mapInArrow(_counted(rules), "hash long, n int")
+    each = slim.mapInArrow(tidy(_distinct(rules)), "hash long, piece string").groupBy("hash").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
+    return each.mapInArrow(tidy(_counted(rules)), "hash long, n int")
 
 
 def _summed(rules, table, text: str, out: str):
@@ -138,11 +138,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ou
         keys = got["hash"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         table = spark.sparkContext.broadcast((keys[order], got["n"].to_numpy()[order]))
-        return base.mapInArrow(_summed(rules, table, text, out), extended(rest, T.StructField(out, T.LongType())))
+        return base.mapInArrow(tidy(_summed(rules, table, text, out)), extended(rest, T.StructField(out, T.LongType())))
     schema = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("own", rest.schema), T.StructField("whole", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("f", T.LongType())]
     )
-    rows = base.mapInArrow(_frequencies(rules, text), schema)
+    rows = base.mapInArrow(tidy(_frequencies(rules, text)), schema)
     joined = rows.join(pieces, "hash", "left")
     if pieces.where(F.col("n") == SHARED_HASH).limit(1).count():
         raise RuntimeError("two pre-tokens share a 64-bit hash; raise max_broadcast, whose way counts their documents whole")

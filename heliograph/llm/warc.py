@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.tables import read
+from heliograph.llm.tables import read, tidy
 from heliograph.storage import Scratch, join_checked
 
 BLOCK = 1 << 16
@@ -156,7 +156,7 @@ def _written(uri: str):
 
 def write_monolithic(records: DataFrame, uri: str) -> DataFrame:
     """One whole-file gzip archive for each partition of (record id, target uri, payload binary, refers_to or null); returns (name, n)."""
-    return records.mapInArrow(_written(uri), "name string, n long")
+    return records.mapInArrow(tidy(_written(uri)), "name string, n long")
 
 
 def _normalised(source: str, target: str):
@@ -190,7 +190,7 @@ def _normalised(source: str, target: str):
 def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite each archive (column name) with a gzip member a record and an index beside it; returns the index's rows."""
     schema = "name string, offset long, length long, record string, record_type string, uri string, payload_digest string"
-    return archives.select("name").mapInArrow(_normalised(source, target), schema)
+    return archives.select("name").mapInArrow(tidy(_normalised(source, target)), schema)
 
 
 def _read(uri: str):
@@ -221,7 +221,7 @@ def _read(uri: str):
 def read_records(index: DataFrame, uri: str) -> DataFrame:
     """Every indexed record, read alone by its offset and verified against its digest."""
     schema = "record string, uri string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-    return index.select("name", "offset", "length").mapInArrow(_read(uri), schema)
+    return index.select("name", "offset", "length").mapInArrow(tidy(_read(uri)), schema)
 
 
 def with_revisits(pages: DataFrame, *, page_id: str = "page_id", payload: str = "payload", min_bytes: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ def _grown(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers[kind]
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    if len(have) <= 1 << 23:
+    if len(have) <= 1 << 21:
         _powers[kind] = have
     return have[:n]
 
