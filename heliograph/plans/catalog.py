@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliograph.functions.columns import dirname
-from heliograph.operators import audit, folders, geo, groups as G, library as L, organize as O, reconcile as R, review, stats
+from heliograph.operators import audit, folders, geo, groups as G, jobs, library as L, organize as O, reconcile as R, review, stats
 from heliograph.plans import proxies as P
 from heliograph.plans.registry import query
 from heliograph.schemas import INFO_COLUMNS, LIST_COLUMNS
@@ -704,3 +704,57 @@ def _(spark, d):
     from heliograph.streaming.audit import tallies
 
     return tallies(P.operations(spark, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+# -- jobs and roots ----------------------------------------------------------------
+
+ERRORS = "errors AS (SELECT event_id AS id, user_id AS scan_id, '/lib/op_' || event_id AS path FROM events WHERE event_type = 'error')"
+
+
+def _errors(spark, d):
+    e = P.read(spark, d, "events").where("event_type = 'error'")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("scan_id"), F.concat(F.lit("/lib/op_"), F.col("event_id").cast("string")).alias("path"))
+
+
+@query("t05_errors_page", f"WITH {ERRORS} SELECT * FROM errors WHERE scan_id = 3 ORDER BY id LIMIT 20 OFFSET 2")
+def _(spark, d):
+    return jobs.errors_page(_errors(spark, d), 3, 20, 2)
+
+
+@query("a28_error_scans", f"WITH {ERRORS} SELECT scan_id % 10 AS shard, string_agg(DISTINCT scan_id::VARCHAR, ',' ORDER BY scan_id::VARCHAR) AS all_values FROM errors GROUP BY 1")
+def _(spark, d):
+    e = _errors(spark, d).select((F.col("scan_id") % 10).alias("shard"), F.col("scan_id").cast("string").alias("scan_id"))
+    return jobs.distinct_list(e, "shard", "scan_id")
+
+
+@query("f14_scan_roots", f"WITH {P.ROOTS} SELECT id, path FROM roots WHERE id IN (2, 4)")
+def _(spark, d):
+    return jobs.roots_of(P.roots(spark).withColumn("enabled", F.lit(True)), [2, 4]).select("id", "path")
+
+
+@query("d18_add_root", f"WITH {P.ROOTS} SELECT id, path, true AS enabled FROM roots UNION ALL SELECT 5, '/lib/it', true")
+def _(spark, d):
+    return jobs.add_root(P.roots(spark).withColumn("enabled", F.lit(True)), "/lib/it/")
+
+
+@query("d18_remove_root", f"WITH {PH} SELECT id FROM photos WHERE root_id <> 2")
+def _(spark, d):
+    return jobs.remove_root(P.roots(spark), P.photos(spark, d), 2)[1].select("id")
+
+
+@query("t13_recent_imports", f"WITH {PH} SELECT id FROM photos WHERE status = 'active' ORDER BY id DESC LIMIT 18")
+def _(spark, d):
+    return L.page(P.photos(spark, d), L.ListSpec(sort="added_desc", limit=18)).select("id")
+
+
+@query("s09_ids_load", f"WITH {PH} SELECT id, sha256 FROM photos WHERE id % 3 = 1")
+def _(spark, d):
+    p = P.photos(spark, d)
+    return p.join(p.where("id % 3 = 1").select("id"), "id", "left_semi").select("id", "sha256")
+
+
+@query("u05_taken_names", f"WITH {PH} SELECT path FROM photos WHERE starts_with(path, '/lib/es/') UNION SELECT '/lib/es/sorted/' || filename FROM photos WHERE starts_with(path, '/lib/fr/')")
+def _(spark, d):
+    p = P.photos(spark, d)
+    claimed = p.where(L.under("/lib/fr")).select(F.concat(F.lit("/lib/es/sorted/"), "filename").alias("path"))
+    return L.paths_under(p, "/lib/es").unionByName(claimed).distinct()

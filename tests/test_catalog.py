@@ -211,3 +211,17 @@ def test_listing_specs(spark):
     assert L.active_under(df.withColumn("path", F.lit("/a/b")), []).count() == 0
     with pytest.raises(ValidationFailed):
         Settings(hamming=8)
+
+
+def test_roots_and_jobs(spark):
+    from heliograph.operators import jobs
+
+    roots = spark.createDataFrame([(1, "/lib/a", True), (2, "/lib/b", False)], "id int, path string, enabled boolean")
+    assert {r.path for r in jobs.add_root(roots, "/lib/c/").collect()} == {"/lib/a", "/lib/b", "/lib/c"}
+    for bad, error in (("/lib", Conflict), ("/lib/a/x", Conflict), ("lib", ValidationFailed)):
+        with pytest.raises(error):
+            jobs.add_root(roots, bad)
+    assert [r.id for r in jobs.roots_of(roots, None).collect()] == [1]
+    scans = spark.createDataFrame([(1, "running"), (2, "completed")], "id int, status string")
+    assert jobs.is_running(scans) and not jobs.is_running(R.recover_interrupted(scans))
+    assert [jobs.valid_destination(x) for x in ("a/b", "a//b", ".a", "a: b", "a /b")] == [True, False, False, False, False]
