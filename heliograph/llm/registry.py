@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from heliograph.llm.ann import op4_cross_polytope
+from heliograph.llm.decontaminate import SQL as NGRAM_SQL
 from heliograph.llm.decontaminate import op3_benchmark_ngrams
 from heliograph.llm.language_id import op8_kneser_ney
 from heliograph.llm.line_dedup import SQL as LINE_SQL
@@ -12,6 +13,7 @@ from heliograph.llm.quotes import op1_quotation_links
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
 from heliograph.llm.token_counts import op10_pretoken_counts
+from heliograph.llm.warc import SQL as WARC_SQL
 from heliograph.llm.warc import op9_gzip_normaliser
 
 QUERIES = {
@@ -29,4 +31,8 @@ QUERIES = {
         op10_pretoken_counts,
     )
 }
-SQL: dict[str, str] = {op7_line_templates.__name__: LINE_SQL}
+SQL: dict[str, str] = {
+    op3_benchmark_ngrams.__name__: NGRAM_SQL,
+    op7_line_templates.__name__: LINE_SQL,
+    op9_gzip_normaliser.__name__: WARC_SQL,
+}

@@ -251,3 +251,14 @@ def op9_gzip_normaliser(spark, sf_dir):
     back = read_records(index, f"{scratch.base}/members")
     page = F.when(F.col("record") != "null", F.col("record")).cast("long")
     return back.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: printf('%04d', ['0','1','10','11','100','101','110','111','1000','1001','1010','1011','1100','1101','1110','1111'][('0x' || hex[i])::INT + 1]::INT)), '') AS b FROM payloads),
+first AS (SELECT html, min(page_id) AS page_id FROM payloads GROUP BY html)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT + 1]), '') AS payload_digest,
+ CASE WHEN f.page_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.page_id <> p.page_id THEN f.page_id END AS refers_to
+FROM bits p JOIN first f USING (html)
+"""
