@@ -155,3 +155,35 @@ def link_quotes(messages: DataFrame, *, min_words: int = 3, conv: str = "conv_id
 def op1_quotation_links(spark, sf_dir):
     """All conversations without quotes, each message with its thread, parent and reply depth."""
     return link_quotes(read(spark, sf_dir, "conversations")).drop("message_id")
+
+
+SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, * FROM conversations),
+ll AS (SELECT r, i, ls[i] AS line FROM (SELECT r, string_split(coalesce(text, ''), chr(10)) AS ls FROM m), unnest(range(1, len(ls) + 1)) u(i)),
+mk AS (SELECT *, regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 0) AS mark FROM ll),
+lv AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS content FROM mk),
+nx AS (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS after FROM lv WINDOW w AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM nx),
+passages AS (SELECT r, level, run, string_agg(content, chr(10) ORDER BY i) AS passage FROM runs WHERE level > 0 GROUP BY r, level, run),
+owned AS (SELECT r, trim(string_agg(line, chr(10) ORDER BY i), chr(10)) AS own FROM runs
+ WHERE level = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(line, '(?i)^\s*(on\b.*|\S.*)\bwrote:\s*$')) GROUP BY r),
+msg AS (SELECT m.r, conv_id, turn, role, coalesce(p.n, 0) AS n_quotes, CASE WHEN p.n IS NULL THEN coalesce(m.text, '') ELSE coalesce(own, '') END AS own
+ FROM m LEFT JOIN (SELECT r, count(*) AS n FROM passages GROUP BY r) p ON p.r = m.r LEFT JOIN owned o ON o.r = m.r),
+parts AS (SELECT conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n[ \t]*\n') || string_split(own, chr(10))) AS part FROM msg WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+units AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS key FROM parts),
+asked AS (SELECT r, level, 0 AS part, passage AS t FROM passages UNION ALL SELECT r, level, 1, unnest(string_split(passage, chr(10))) FROM passages),
+quotes AS (SELECT msg.r, conv_id, turn, level, part, trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS key
+ FROM asked JOIN msg ON msg.r = asked.r WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+near AS (SELECT conv_id, key, min(turn) AS t FROM units WHERE key <> '' GROUP BY conv_id, key),
+far AS (SELECT key, min({'c': conv_id, 't': turn}) AS o FROM units WHERE len(string_split(key, ' ')) >= 3 GROUP BY key),
+found AS (SELECT r, {'far': 0, 'level': level, 'part': part, 'c': q.conv_id, 't': near.t} AS f FROM quotes q JOIN near ON near.conv_id = q.conv_id AND near.key = q.key WHERE near.t < q.turn
+ UNION ALL SELECT r, {'far': 1, 'level': level, 'part': part, 'c': far.o.c, 't': far.o.t} FROM quotes q JOIN far ON far.key = q.key
+  WHERE far.o.c <> q.conv_id AND (far.o.c < q.conv_id OR (far.o.c = q.conv_id AND far.o.t < q.turn))),
+best AS (SELECT r, min(f) AS f FROM found GROUP BY r),
+walk AS (SELECT r, 1 AS depth, f.c AS tc, f.t AS tt FROM best
+ UNION ALL SELECT w.r, w.depth + 1, b.f.c, b.f.t FROM walk w JOIN msg p ON p.conv_id = w.tc AND p.turn = w.tt JOIN best b ON b.r = p.r),
+tops AS (SELECT r, max(depth) AS depth, arg_max(tc, depth) AS tc, arg_max(tt, depth) AS tt FROM walk GROUP BY r)
+SELECT conv_id, turn, role, own AS text, coalesce(tc, conv_id) AS thread_conv, coalesce(tt, turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS reply_depth,
+ best.f.c AS parent_conv, best.f.t AS parent_turn, n_quotes::BIGINT AS n_quotes
+FROM msg LEFT JOIN tops ON tops.r = msg.r LEFT JOIN best ON best.r = msg.r
+"""

@@ -9,6 +9,7 @@ from heliograph.llm.language_id import op8_kneser_ney
 from heliograph.llm.line_dedup import SQL as LINE_SQL
 from heliograph.llm.line_dedup import op7_line_templates
 from heliograph.llm.packing import op5_vector_packing
+from heliograph.llm.quotes import SQL as QUOTE_SQL
 from heliograph.llm.quotes import op1_quotation_links
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
@@ -32,6 +33,7 @@ QUERIES = {
     )
 }
 SQL: dict[str, str] = {
+    op1_quotation_links.__name__: QUOTE_SQL,
     op3_benchmark_ngrams.__name__: NGRAM_SQL,
     op7_line_templates.__name__: LINE_SQL,
     op9_gzip_normaliser.__name__: WARC_SQL,

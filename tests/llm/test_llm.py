@@ -70,6 +70,17 @@ def test_quotes_link_reorder_and_disappear(spark):
     assert got[2, 1] == (2, 1, 0, None, None, 1, "hm")
     assert got[2, 2] == (2, 2, 0, None, None, 0, "")
     assert got[None, 3][2:5] == (0, None, None)
+    import duckdb
+
+    from heliograph.llm.quotes import SQL
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(SQL)
+    at = [want.columns.index(c) for c in ("conv_id", "turn", "role", "text", "thread_conv", "thread_turn", "reply_depth", "parent_conv", "parent_turn", "n_quotes")]
+    mine = [(r.conv_id, r.turn, r.role, r.text, r.thread_conv, r.thread_turn, r.reply_depth, r.parent_conv, r.parent_turn, r.n_quotes) for r in out]
+    assert sorted(mine, key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
     assert link_quotes(df.limit(0)).count() == 0
     long_chain = [(9, i, "u", (f"> the message number {i - 1} says so\n" if i else "") + f"the message number {i} says so") for i in range(40)]
     chain = link_quotes(spark.createDataFrame(long_chain, "conv_id long, turn long, role string, text string")).collect()
