@@ -16,6 +16,8 @@ from heliograph.operators.library import is_active
 from heliograph.schemas import Settings
 from heliograph.storage import Scratch
 
+#: Similarity graphs of up to so many links (8 MB) are solved in one task; larger ones in rounds of joins.
+ONE_TASK_EDGES = 500_000
 MEMBER = ["kind", "key", "keeper_photo_id", "photo_id", "similarity_pct"]
 
 
@@ -59,13 +61,14 @@ def hash_components(photos: DataFrame, threshold: int) -> DataFrame:
     """(phash, component): equal hashes are collapsed first; the component is its smallest hash."""
     distinct = photos.where(F.col("phash").isNotNull()).select("phash").distinct()
     distinct = Scratch(photos.sparkSession, "hashes").table(distinct, "distinct")
-    found = connected_components(hamming_links(distinct, threshold)).withColumnRenamed("node", "phash")
+    found = connected_components(hamming_links(distinct, threshold), one_task_edges=ONE_TASK_EDGES).withColumnRenamed("node", "phash")
     return distinct.join(found, "phash", "left").select("phash", F.coalesce("component", "phash").alias("component"))
 
 
 def similar_groups(photos: DataFrame, threshold: int = 6) -> DataFrame:
     """Components of near-identical hashes with two or more contents; percent is against the keeper."""
     own = photos.where(F.col("sha256").isNotNull() & F.col("phash").isNotNull()).select("id", "sha256", "phash", "size_bytes", "width", "height")
+    own = Scratch(photos.sparkSession, "similar").table(own, "own")  # read twice: the six columns are worth writing once
     placed = own.join(hash_components(own, threshold), "phash")
     # the number of contents is over one exactly if the smallest and the largest differ
     heads = placed.groupBy("component").agg(
@@ -76,7 +79,7 @@ def similar_groups(photos: DataFrame, threshold: int = 6) -> DataFrame:
 
 
 def derive_groups(photos: DataFrame, threshold: int = 6) -> DataFrame:
-    active = photos.where(is_active())
+    active = photos.where(is_active()).select("id", "sha256", "phash", "size_bytes", "width", "height")
     return exact_groups(active).unionByName(similar_groups(active, threshold))
 
 

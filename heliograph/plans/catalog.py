@@ -351,7 +351,9 @@ def _(spark, d):
 
 @query("j03_band_neighbours", f"WITH {P.HASHED} SELECT s.id AS seed_id, p.id AS photo_id, bit_count(xor(s.phash, p.phash))::INT AS distance FROM hashed s JOIN hashed p ON s.id % 7 = 3 AND p.status = 'active' AND s.id <> p.id AND bit_count(xor(s.phash, p.phash)) <= 6")
 def _(spark, d):
-    p = P.hashed_photos(spark, d)
+    from heliograph.storage import Scratch
+
+    p = Scratch(spark, "j03").table(P.hashed_photos(spark, d).select("id", "phash", "status"), "photos")
     return G.band_neighbours(p, p.where("id % 7 = 3")).withColumn("distance", F.col("distance").cast("int"))
 
 

@@ -34,7 +34,9 @@ def test_components_on_chains_cycles_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 3), (3, 1)] + [(500, 500 + k) for k in range(1, 40)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1, 3: 1, **{500 + k: 500 for k in range(40)}}
-    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long"), one_task_edges=10**6).collect())) == got
+    for bound in (0, 10):
+        assert connected_components(spark.createDataFrame([], "src long, dst long"), one_task_edges=bound).count() == 0
 
 
 def test_similar_group_facts(spark):
