@@ -2,16 +2,20 @@
 
 Lines run down a tree of fixed depth: by their number of tokens, then by their first
 ``depth`` tokens, where a token with a digit counts as a variable field.  In a leaf
-the other fields are generalised: a token stays in the template only where at least
-``min_docs`` lines of the leaf have it in that place; any other place is variable.  A
-line whose constant tokens make up less than ``similarity`` of its tokens without a
-digit has no template.  A template found in at least ``min_docs`` different texts is
-recurring, and its lines are dropped everywhere but in the document with the smallest
-id that has it, so that no wording leaves the corpus altogether.
+the other fields are generalised at several levels: at level k a token stays in the
+template only where at least ``min_docs`` * 2**k different texts of the leaf have it in
+that place; any other place is variable.  So a field of common words becomes variable
+at some level however large the leaf is, and a rare template beside a frequent one
+still has its own level.  Where a line's constant tokens make up less than
+``similarity`` of its tokens without a digit, that level gives it no template.  A
+template found in at least ``min_docs`` different texts is recurring, and its lines are
+dropped everywhere but in the document with the smallest id that has it, so that no
+wording leaves the corpus altogether.
 
 Different texts are counted, not rows: copies of one document don't make its own
 lines recur.  Only leaves with enough different texts go on, so all later steps see a
-small share of the lines.  Every count is a partial aggregate; texts move only if the
+small share of the lines; lines of fewer than ``min_tokens`` tokens have no template.
+Every count is a partial aggregate; texts move only if the
 dropped line numbers are too many to broadcast.
 """
 
@@ -49,22 +53,30 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 20, depth: int = 3, min_to
     nodes = scratch.table(nodes, "nodes")
     held = scratch.table(join_checked(lines.select("d", "h", "no", "node", "t"), nodes, "node", "left_semi").dropDuplicates(["d", "h", "no"]), "held")
 
-    fields = held.select("d", "h", "no", "node", F.posexplode("t").alias("place", "token")).where(F.col("token") != FIELD)
-    constant = fields.groupBy("node", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    constant = scratch.table(constant, "constant")
-    kept = join_checked(fields, constant, ["node", "place", "token"], "left_semi")
-    marks = kept.groupBy("d", "h", "no", "node").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("mark"))
-    plain = held.select("d", "h", "no", F.size(F.filter("t", lambda x: x != FIELD)).alias("plain"))
-    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.no") == F.col("b.no")) & F.col("a.d").eqNullSafe(F.col("b.d"))
-    shaped = marks.alias("a").join(plain.alias("b"), same).where(F.col("fixed") >= F.col("plain") * similarity)
-    shaped = shaped.select("a.d", "a.h", "a.no", F.xxhash64("node", "fixed", "mark").alias("template"))
+    plain = F.size(F.filter("t", lambda x: x != FIELD)).alias("plain")
+    fields = held.select("d", "h", "no", "node", plain, F.posexplode("t").alias("place", "token")).where(F.col("token") != FIELD)
+    often = fields.groupBy("node", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    often = scratch.table(often, "often")
+    # only tokens of enough lines are counted again, by different texts
+    texts = join_checked(fields.select("node", "place", "token", "h"), often, ["node", "place", "token"], "left_semi").distinct()
+    texts = texts.groupBy("node", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    constant = scratch.table(texts.withColumn("level", F.floor(F.log2(F.col("n") / min_docs)).cast("int")).drop("n"), "constant")
+    kept = join_checked(fields, constant, ["node", "place", "token"])
+    levels = kept.groupBy("d", "h", "no", "node", "plain", "level").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("mark"))
+    levels = levels.groupBy("d", "h", "no", "node", "plain").agg(F.collect_list(F.struct("level", "fixed", "mark")).alias("ls"))
+    from_level = lambda x: F.filter("ls", lambda y: y["level"] >= x["level"])
+    fixed = lambda x: F.aggregate(from_level(x), F.lit(0).cast("long"), lambda n, y: n + y["fixed"])
+    mark = lambda x: F.aggregate(from_level(x), F.lit(0).cast("long"), lambda n, y: n.bitwiseXOR(y["mark"]))
+    shapes = levels.select("d", "h", "no", "node", "plain", F.explode(F.transform("ls", lambda x: F.struct(fixed(x).alias("fixed"), mark(x).alias("mark")))).alias("x"))
+    shaped = shapes.where(F.col("x.fixed") >= F.col("plain") * similarity)
+    shaped = shaped.select("d", "h", "no", F.xxhash64("node", "x.fixed", "x.mark").alias("template"))
     shaped = scratch.table(shaped, "shaped")
 
     texts = shaped.groupBy("template", "h").agg(F.min("d").alias("d"))
     recurring = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_docs).drop("n")
     recurring = scratch.table(recurring, "recurring")
     gone = join_checked(shaped, recurring, "template").where(~F.col("d").eqNullSafe(F.col("first")))
-    return scratch.table(gone.groupBy("d", "h").agg(F.array_sort(F.collect_list("no")).alias("drops")), "drops")
+    return scratch.table(gone.groupBy("d", "h").agg(F.array_sort(F.collect_set("no")).alias("drops")), "drops")
 
 
 def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -332,6 +332,18 @@ def test_line_templates_drop_recurring_lines_only(spark):
     assert drop_templates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 30_000])
+def test_line_templates_have_word_fields_at_every_size(spark, n):
+    from heliograph.llm.line_dedup import drop_templates
+
+    rng = random.Random(7)
+    name = lambda: "name" + "".join(chr(97 + int(c)) for c in str(rng.randrange(500)))
+    rows = [(i, f"{i} {i}\nThe quick notice was sent by {name()} to our office in {name()} for review") for i in range(n)]
+    rows += [(n + i, rows[1][1].split("\n")[1] + f"\ncopy {i % 2}") for i in range(40)]
+    out = drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_dropped"), F.sum(F.when(F.col("doc_id") == 0, F.col("n_dropped")))).first()
+    assert tuple(out) == (n + 39, 0)
+
+
 # -- op 8 -----------------------------------------------------------------------------
 
 
