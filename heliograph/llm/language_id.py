@@ -12,7 +12,7 @@ one binary search for all languages together.
 The models are fitted on a bounded sample: about ``sample_rows`` labelled rows of each
 language, whole texts of at most ``max_chars`` characters, at most ``sample_chars`` in
 all.  A quarter of the sample is kept aside to calibrate the score's temperature and
-the cross-entropy above which a text is rejected.
+the cross-entropy above which a text is rejected; that bound is wider for short texts.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ START = 1
 NONE = "und"
 #: The probability floor: characters that no sample has shown share one in this many.
 UNSEEN = 100_000
-#: Nats per character over the mean entropy within which no text is rejected.
-MARGIN = 3.0
+#: Excess entropies are taken in units that grow as texts shorten: 1 + SHORT / sqrt(characters) nats.
+SHORT = 20
+#: At most so many units are added to the bound of the clean texts where other languages lie further off.
+ROOM = 0.6
 
 
 def _characters() -> np.ndarray:
@@ -81,6 +83,11 @@ def _grams(units: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
+def _units(counts: np.ndarray) -> np.ndarray:
+    """The unit of excess entropy of texts with so many characters: short texts scatter more."""
+    return 1 + SHORT / np.sqrt(np.maximum(counts, 1))
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray):
     """(place, whether it is there) in a sorted array."""
     if not len(keys):
@@ -95,7 +102,7 @@ class Models:
     def __init__(self, samples: dict[str, list[str]], order: int = 4):
         self.kinds = _characters()
         self.order, self.langs = order, sorted(samples)
-        self.temperature, self.mean, self.most = 8.0, 0.0, np.inf
+        self.temperature, self.mean, self.most = 8.0, 0.0, np.inf  # most: the largest excess that is kept
         fit = {lang: [t for i, t in enumerate(texts) if i % 4 or len(texts) < 4] for lang, texts in samples.items()}
         if self.langs:
             self._fit(fit)
@@ -165,11 +172,16 @@ class Models:
         return -total / np.maximum(counts, 1)[:, None], letters, counts
 
     def _calibrate(self, aside: dict[str, list[str]]) -> None:
-        """Temperature: best likelihood of the true language; rejection: what the texts kept aside stay under."""
+        """Temperature: best likelihood of the true language; rejection: a bound on the excess over the mean entropy.
+
+        The bound is a high quantile of the texts kept aside, widened for few of them.  Where
+        other languages' models first reach these texts only further off, it lies there, at
+        most ROOM over what is usual, so that rare clean texts a sample has not shown stay.
+        """
         texts = [(t, i) for i, lang in enumerate(self.langs) for t in aside[lang] if t]
         if not texts:
             return
-        ce, letters, _ = self.entropies([t for t, _ in texts])
+        ce, letters, counts = self.entropies([t for t, _ in texts])
         real, truth = letters > 0, np.array([i for _, i in texts])
         if not real.any():
             return
@@ -181,8 +193,17 @@ class Models:
             return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
         self.temperature = min((2.0**e for e in range(0, 7)), key=loss)
-        best = ce.min(axis=1)
-        self.mean, self.most = float(best.mean()), float(best.max())
+        best, units = ce.min(axis=1), _units(counts[real])
+        self.mean = float(np.average(best, weights=1 / units**2))
+        excess = (best - self.mean) / units
+        widened = 1 + 4 / np.sqrt(len(excess))
+        clean, usual = np.quantile(excess, 0.995) * widened, np.quantile(excess, 0.98)
+        other = np.inf
+        if len(self.langs) > 1:  # each text as one of a language not learned: by the other languages' models only
+            foreign = ce.copy()
+            foreign[np.arange(len(ce)), truth] = np.inf
+            other = np.quantile((foreign.min(axis=1) - self.mean) / units, 0.05)
+        self.most = float(max(clean, min(other, usual + ROOM)))
 
     def predict(self, texts: list[str]):
         """(language, score, rejected) lists; ties go to the first language by name."""
@@ -198,9 +219,7 @@ class Models:
             best = ce.argmin(axis=1)
             low = ce[np.arange(b - a), best]
             z = np.exp((low[:, None] - ce) * self.temperature)
-            # short texts scatter more: the margin over the largest entropy kept aside grows as they shorten;
-            # a small sample's largest entropy is not trusted below MARGIN over the mean
-            bound = np.maximum(self.most, self.mean + MARGIN) + (self.most - self.mean) * (0.5 + 20 / np.sqrt(np.maximum(counts, 1)))
+            bound = self.mean + self.most * _units(counts)
             none = letters == 0
             langs += [NONE if n else self.langs[i] for n, i in zip(none, best, strict=True)]
             scores += np.where(none, 0.0, 1 / z.sum(axis=1)).tolist()

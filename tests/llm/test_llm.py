@@ -370,6 +370,18 @@ def test_language_models(spark, data):
     assert held_out(F.col("x")) is not None and isinstance(models, Models)
 
 
+@pytest.mark.parametrize("left_out", ["de", "fr", "es", "en"])
+def test_texts_of_an_unlearned_language_are_rejected(spark, data, left_out):
+    from heliograph.llm.language_id import held_out, learn
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("length(text) >= 200")
+    models = learn(docs.where(~held_out(F.col("doc_id")) & (F.col("lang") != left_out)))
+    test = docs.where(held_out(F.col("doc_id"))).select("lang", "text").collect()
+    gone = models.predict([r.text for r in test])[2]
+    assert sum(g for g, r in zip(gone, test) if r.lang == left_out) >= 0.9 * sum(r.lang == left_out for r in test)
+    assert not any(g for g, r in zip(gone, test) if r.lang != left_out)
+
+
 def test_language_probabilities_sum_to_one():
     from heliograph.llm.language_id import UNSEEN, Models, _find, _grams
 
