@@ -302,6 +302,29 @@ def test_near_copies_are_verified_on_shingles(spark, docs, rows):
     assert drop_near_copies(empty(docs)).count() == 0
 
 
+def groups_and_brute_force(spark, texts):
+    from heliograph.llm.near_dedup import near_copies
+
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    want = components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.id: r.component_id for r in found}, want
+
+
+def test_near_copies_with_a_block_replaced_or_appended(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(120):
+        w = prose(rng, rng.randint(60, 400)).split()
+        at, n = rng.randrange(len(w) * 8 // 10), len(w) * 9 // 100
+        texts += [" ".join(w), " ".join([*w[:at], *prose(rng, n).split(), *w[at + n :]]), " ".join([*w, *prose(rng, len(w) * 23 // 100).split()])]
+    got, want = groups_and_brute_force(spark, texts)
+    assert got == want and sum(a != b for a, b in want.items()) > 150
+
+
 # -- op 7 -----------------------------------------------------------------------------
 
 
