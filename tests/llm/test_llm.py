@@ -325,6 +325,19 @@ def test_near_copies_with_a_block_replaced_or_appended(spark):
     assert got == want and sum(a != b for a, b in want.items()) > 150
 
 
+def test_near_copies_of_a_family_of_revisions(spark):
+    rng = random.Random(22)
+    texts, w = [], prose(rng, 400).split()
+    for _ in range(200):
+        texts.append(" ".join(w))
+        at = rng.sample(range(400), 8)
+        for i in at:
+            w[i] = prose(rng, 1)
+    rng.shuffle(texts)
+    got, want = groups_and_brute_force(spark, texts)
+    assert got == want and len(set(want.values())) < 20
+
+
 # -- op 7 -----------------------------------------------------------------------------
 
 
