@@ -338,6 +338,13 @@ def test_near_copies_of_a_family_of_revisions(spark):
     assert got == want and len(set(want.values())) < 20
 
 
+def test_texts_that_share_one_frequent_bigram_are_no_copies(spark):
+    rng = random.Random(23)
+    texts = ["la " * 500 + " ".join(f"{rng.choice(WORDS)}{rng.random()}" for _ in range(400)) for _ in range(12)]
+    got, want = groups_and_brute_force(spark, texts)
+    assert got == want == {i: i for i in range(12)}
+
+
 # -- op 7 -----------------------------------------------------------------------------
 
 
