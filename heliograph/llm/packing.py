@@ -21,9 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.llm.pretok import PieceCache, Rules, Splitter, rules_from
-from heliograph.llm.tables import read, tidy
+from heliograph.llm.tables import extended, read, tidy, without
+
+
+PIECE = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 @dataclass(frozen=True)
@@ -88,7 +92,7 @@ def _pack(rules, limits: Limits, text: str, keys: list[str], closing: int, pool_
         pool = Pool(limits)
         ctx = TaskContext.get()
         number = (ctx.partitionId() if ctx else 0) << 33
-        names = [*keys, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        names = [*keys, *PIECE]
         kinds = [*types, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         rows: list[tuple] = []
 
@@ -142,11 +146,14 @@ def pack_documents(
     """One row per piece: ``keys``, start, length, ids binary (little-endian uint32), doc_tokens, sequence_id, offset.
 
     A document's tokens are its text's ids (null: none) and the ``closing`` id, which
-    alone bears no loss.  Repeated rows are packed each.  ``docs`` should be read from
-    a table, so that a task run again meets its rows in the same order.
+    alone bears no loss.  Repeated rows are packed each; an empty table gives no rows;
+    only ``keys`` are carried along, and one named like an output is an error.  ``docs``
+    should be read from a table, so that a task run again meets its rows in the same order.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    if clash := {k.lower() for k in keys} & set(PIECE):
+        raise ValueError(f"keys named like an output: {sorted(clash)}")
     spark = docs.sparkSession
     slim = docs.select(*keys, F.col(text).cast("string").alias(text))
     rules = spark.sparkContext.broadcast(rules_from(tokenizer_path))
@@ -156,7 +163,7 @@ def pack_documents(
 
 
 def pack_items(items: list[tuple[int, int]], limits: Limits) -> list[list[int]]:
-    """Bins of item numbers for whole items (tokens, loss-bearing tokens) that may not be cut, such as instruction examples."""
+    """Bins of item numbers for a short list of whole items (tokens, loss-bearing tokens) that may not be cut."""
     pool = Pool(limits)
     for i, (tokens, loss) in enumerate(items):
         pool.add(tokens, loss, i)
@@ -166,6 +173,72 @@ def pack_items(items: list[tuple[int, int]], limits: Limits) -> list[list[int]]:
     return out
 
 
+def _pack_whole(limits: Limits, tokens: str, loss: str, pool_size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool, ctx = Pool(limits), TaskContext.get()
+        number, held, base = (ctx.partitionId() if ctx else 0) << 33, {}, 0
+
+        def placed(bins: list[list[tuple[int, int]]], schema: pa.Schema):
+            """The rows of some sequences: their own columns, taken from the batches that hold them."""
+            nonlocal number
+            parts = []
+            for one in bins:
+                for k, (at, i) in enumerate(one):
+                    parts.append((at, i, number if at is not None else None, k))
+                number += 1
+            by: dict[int, list] = {}
+            for at, i, seq, k in parts:
+                by.setdefault(at, []).append((i, seq, k))
+            for at, rows in by.items():
+                batch, left = held[at]
+                got = batch.take(pa.array([i for i, _, _ in rows]))
+                held[at] = (batch, left - len(rows))
+                if held[at][1] == 0:
+                    del held[at]
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array([s for _, s, _ in rows], pa.int64()), pa.array([k for _, _, k in rows], pa.int32())], [*schema.names, "sequence_id", "segment"])
+
+        for batch in batches:
+            names = batch.schema.names
+            n, bears = (batch.column(names.index(c)).to_pylist() for c in (tokens, loss))
+            unfit = [i for i, (a, b) in enumerate(zip(n, bears, strict=True)) if a is None or a < 1 or a > limits.tokens or (b or 0) > limits.loss]
+            if unfit:
+                got = batch.take(pa.array(unfit))
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(len(unfit), pa.int64()), pa.nulls(len(unfit), pa.int32())], [*names, "sequence_id", "segment"])
+            whole = sorted(set(range(len(n))) - set(unfit))
+            if not whole:
+                continue
+            held[base] = (batch, len(whole))
+            for i in whole:
+                pool.add(n[i], max(0, bears[i] or 0), (base, i))
+            base += 1
+            bins = []
+            while pool.count > pool_size:
+                bins.append(pool.next_bin())
+            yield from placed(bins, batch.schema)
+        if pool.count:
+            schema = next(iter(held.values()))[0].schema
+            bins = []
+            while pool.count:
+                bins.append(pool.next_bin())
+            yield from placed(bins, schema)
+
+    return run
+
+
+def pack_examples(examples: DataFrame, *, limits: Limits = Limits(), tokens: str = "n_tokens", loss: str = "n_loss", pool_size: int = 4096) -> DataFrame:
+    """``examples`` plus sequence_id long and segment int (from 0): instruction examples packed whole under all three limits.
+
+    ``tokens`` and ``loss`` are columns with an example's tokens and loss-bearing tokens
+    (null: none).  An example that no sequence can hold, or without a token, keeps its
+    row with null outputs; repeated rows are packed each; an empty table gives no rows;
+    input columns named like the outputs are replaced.  Nothing is shuffled: each task
+    packs its own rows, of which it holds about ``pool_size`` and their batches.
+    """
+    base = without(examples, "sequence_id", "segment")
+    schema = extended(base, T.StructField("sequence_id", T.LongType()), T.StructField("segment", T.IntegerType()))
+    return base.mapInArrow(tidy(_pack_whole(limits, tokens, loss, pool_size)), schema)
+
+
 def op5_vector_packing(spark, sf_dir):
     """All documents packed into sequences of 1024 tokens."""
     import public_tokenizers

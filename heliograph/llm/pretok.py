@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from heliograph.llm.wordscan import chunks, range_hashes
+from heliograph.llm.wordscan import checked_hashes, chunks
 
 OWN, LETTER, NUMBER, SPACE, OTHER, EDGE = range(6)
 CHUNK = 1 << 20
@@ -173,8 +173,9 @@ class Splitter:
             real &= kinds[starts] != SPACE
         return starts[real], ends[real]
 
-    def hashes(self, units, starts, ends) -> np.ndarray:
-        return range_hashes(units, starts, ends)
+    def hashes(self, units, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of every pre-token; pre-tokens are equal where both are."""
+        return checked_hashes(units, starts, ends)
 
     @staticmethod
     def string(units: np.ndarray, a: int, b: int) -> str:
@@ -182,14 +183,19 @@ class Splitter:
 
 
 class PieceCache:
-    """Ids of pre-tokens by hash, in sorted arrays; emptied when it has more than ``most`` entries."""
+    """Ids of pre-tokens by their hashes, in sorted arrays; emptied when it has more than ``most`` entries.
 
-    def __init__(self, splitter: Splitter, most: int = 1_500_000):
+    A pre-token is looked up by its first hash and must have the second one too; a text
+    with a pre-token that shares only the first with another goes to the library whole.
+    """
+
+    def __init__(self, splitter: Splitter, most: int = 1_000_000):
         self.splitter, self.most = splitter, most
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
+        self.checks = np.empty(0, np.uint64)
         self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint32)
@@ -198,7 +204,7 @@ class PieceCache:
         """(ids, ends) for a chunk of texts at a time: ids of all its texts in a row, and where each text's ids end."""
         sp = self.splitter
         for a, b, left, owner, units, starts, ends in sp.chunks(texts):
-            h = sp.hashes(units, starts, ends)
+            h, check = sp.hashes(units, starts, ends)
             own, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             place = np.searchsorted(self.keys, own)
             known = np.zeros(len(own), bool)
@@ -214,9 +220,11 @@ class PieceCache:
                 at = len(self.pool) + np.cumsum(size) - size
                 self.pool = np.concatenate([self.pool, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
                 where = np.searchsorted(self.keys, own[fresh])
-                self.keys, self.at, self.size = (np.insert(x, where, y) for x, y in ((self.keys, own[fresh]), (self.at, at), (self.size, size)))
+                rows = ((self.keys, own[fresh]), (self.checks, check[first[fresh]]), (self.at, at), (self.size, size))
+                self.keys, self.checks, self.at, self.size = (np.insert(x, where, y) for x, y in rows)
                 place = np.searchsorted(self.keys, own)
             which = place[inverse]
+            left = left | {*owner[self.checks[which] != check].tolist()}
             size = self.size[which]
             begin = np.cumsum(size) - size
             ids = self.pool[np.repeat(self.at[which] - begin, size) + np.arange(int(size.sum()))]
@@ -226,7 +234,7 @@ class PieceCache:
                 whole = dict(zip(sorted(left), sp.whole([texts[a + i] for i in sorted(left)]), strict=True))
                 stop = np.cumsum(counts)
                 for i in sorted(left):
-                    parts += [ids[done : stop[i]], np.array(whole[i], np.uint32)]
+                    parts += [ids[done : stop[i] - counts[i]], np.array(whole[i], np.uint32)]
                     done, counts[i] = stop[i], len(whole[i])
                 ids = np.concatenate([*parts, ids[done:]])
             yield ids, np.cumsum(counts)

@@ -1,28 +1,17 @@
 """Vectorised scanning of text batches with NumPy: words, hashes of words and hashes of word windows.
 
-A hash of a byte range is read off a prefix sum of byte * B**i (mod 2**64) and
-shifted back by the inverse power, so every word of a batch costs the same few
-array operations whatever its length.  Hashes only select; callers verify texts.
+The hash of a range of units is the sum of a mixed value of every (unit, place in the
+range), so all ranges of a batch cost the same few array operations whatever their
+length.  The mixing is not linear, so texts built of few letters in clever orders don't
+collide as they do under polynomials modulo 2**64.  A second sum over the same values
+mixed once more is a check that is independent of the first: 128 bits in all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _grown(kind: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1), kept between calls."""
-    have = _powers[kind]
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    if len(have) <= 1 << 21:
-        _powers[kind] = have
-    return have[:n]
+_UNIT, _AT, _MORE, _CHECK = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -30,11 +19,35 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def checked_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, check: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(hash, second hash) of units[starts:ends] for each range; equal ranges have equal hashes wherever they stand."""
+    lengths = ends - starts
+    stops = np.cumsum(lengths)
+    place = np.arange(int(stops[-1]) if len(stops) else 0) - np.repeat(stops - lengths, lengths)
+    x = units[place + np.repeat(starts, lengths)].astype(np.uint64)
+    x += np.uint64(1)
+    x *= _UNIT
+    x += place.astype(np.uint64) * _AT
+    x ^= x >> np.uint64(32)
+    x *= _MORE
+    x ^= x >> np.uint64(29)
+    sums = np.zeros(len(x) + 1, np.uint64)
+
+    def total() -> np.ndarray:
+        np.cumsum(x, out=sums[1:])
+        return mixed(sums[stops] - sums[stops - lengths] + lengths.astype(np.uint64))
+
+    first = total()
+    if not check:
+        return first, None
+    x *= _CHECK
+    x ^= x >> np.uint64(31)
+    return first, total()
+
+
 def range_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of units[starts:ends] for each range; equal ranges have equal hashes wherever they stand."""
-    sums = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * _grown("up", BASE, len(units)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _grown("down", INVERSE, len(units) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """The first of ``checked_hashes``."""
+    return checked_hashes(units, starts, ends, check=False)[0]
 
 
 _WORD = np.zeros(256, bool)

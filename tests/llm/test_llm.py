@@ -225,6 +225,49 @@ def test_packing_holds_limits_and_loses_no_token(spark, docs, rows):
         pack_items([(200, 1)], Limits(tokens=128))
 
 
+def test_examples_are_packed_whole_under_three_limits(spark):
+    from heliograph.llm.packing import Limits, pack_examples
+
+    rng = random.Random(8)
+    rows = [(i, n := rng.randint(1, 100), rng.randint(0, n), 3) for i in range(500)] + [(500, None, None, 3), (501, 200, 1, 3), (502, 10, 90, 3), (503, 5, None, 3), (504, 0, 0, 3)]
+    rows += [rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "id long, n_tokens int, n_loss int, segment int").repartition(2)
+    limits = Limits(tokens=128, segments=4, loss=80)
+    out = pack_examples(df, limits=limits, pool_size=50).collect()
+    assert Counter((r.id, r.n_tokens, r.n_loss) for r in out) == Counter(r[:3] for r in rows)
+    seqs = defaultdict(list)
+    for r in out:
+        fits = r.n_tokens and r.n_tokens <= 128 and (r.n_loss or 0) <= 80
+        assert (r.sequence_id is not None) == bool(fits) and (r.segment is None) == (r.sequence_id is None)
+        if fits:
+            seqs[r.sequence_id].append(r)
+    for own in seqs.values():
+        assert sorted(r.segment for r in own) == list(range(len(own)))
+        assert sum(r.n_tokens for r in own) <= 128 and len(own) <= 4 and sum(r.n_loss or 0 for r in own) <= 80
+    used = sum(r.n_tokens for own in seqs.values() for r in own)
+    assert len(seqs) <= 1.25 * max(used / 128, sum(map(len, seqs.values())) / 4, sum(r.n_loss or 0 for own in seqs.values() for r in own) / 80)
+    assert pack_examples(df.limit(0)).count() == 0
+
+
+def test_packing_through_the_query(spark, tmp_path):
+    from heliograph.llm.packing import op5_vector_packing, pack_documents
+    from heliograph.llm.pretok import library
+
+    texts = [None, "", "x " * 3000, "same", "same", *(prose(random.Random(i), 40) for i in range(30))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = library(open(path).read())
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    seen = Counter()
+    for r in op5_vector_packing(spark, str(tmp_path)).collect():
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and r.doc_tokens == len(want[r.doc_id]) and 0 <= r.offset <= 1024 - r.length
+        seen[r.doc_id] += r.length
+    assert seen == {i: len(x) for i, x in want.items()}
+    with pytest.raises(ValueError):
+        pack_documents(spark.createDataFrame([(1, "a")], "start long, text string"), path, keys=("start",))
+
+
 # -- op 6 -----------------------------------------------------------------------------
 
 
@@ -503,12 +546,74 @@ def test_token_counts_are_the_librarys(spark, docs, rows):
         path = public_tokenizers.path(name)
         tok = library(open(path).read())
         want = Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
-        for most in (6_000_000, 0):
+        for most in (6_000_000, 40, 0):
             got = token_counts(docs.withColumn("n_tokens", F.lit("clash")), path, max_broadcast=most)
             assert Counter((r.doc_id, r.n_tokens) for r in got.collect()) == want
         assert token_counts(empty(docs), path).count() == 0
 
 
+def morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 else b for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements collide under every polynomial modulo 2**64."""
+    from heliograph.llm.packing import pack_documents
+    from heliograph.llm.pretok import library
+    from heliograph.llm.token_counts import token_counts
+
+    rows = [(0, morse(1024, "a", "b")), (1, morse(1024, "b", "a")), (2, "plain"), (3, morse(4096, "a", "b") + " " + morse(4096, "b", "a"))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        tok = library(open(path).read())
+        want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in rows}
+        for parts in (1, 2):
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+            for most in (1_000_000, 0):
+                assert {r.doc_id: r.n_tokens for r in token_counts(docs, path, max_broadcast=most).collect()} == {i: len(x) for i, x in want.items()}
+        got = defaultdict(list)
+        for r in sorted(pack_documents(docs, path).collect(), key=lambda r: r.start):
+            got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        assert got == {i: [*x, 0] for i, x in want.items()}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pretokens_that_share_a_hash_are_told_apart(name, rows):
+    """Four bits of the first hash only: nearly all pre-tokens share one, and the second hash decides."""
+    import pyarrow as pa
+
+    from heliograph.llm import token_counts as tc
+    from heliograph.llm.pretok import PieceCache, Splitter, rules_from
+
+    class Weak(Splitter):
+        def hashes(self, *units):
+            h, g = super().hashes(*units)
+            return h & np.uint64(15), g
+
+    class Held:
+        value = rules_from(public_tokenizers.path(name))
+
+    texts = [t or "" for _, t in rows]
+    cache = PieceCache(Weak(Held.value))
+    got = []
+    for ids, ends in cache.encode(texts):
+        got += [x.tolist() for x in np.split(ids, ends[:-1])]
+    want = cache.splitter.whole(texts)
+    assert got == want
+    strong, tc.Splitter = tc.Splitter, Weak
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        new = pa.Table.from_batches(tc._distinct(Held)(iter([batch, batch]))).to_pandas().drop_duplicates()
+        n = np.array([len(x) for x in cache.splitter.whole(new["piece"].tolist())], np.int32)
+        keys, checks = new["h"].to_numpy().view(np.uint64), new["g"].to_numpy().view(np.uint64)
+        order = np.lexsort((checks, keys))
+        table = type("Table", (), {"value": (keys[order], checks[order], n[order])})
+        out = pa.Table.from_batches(tc._summed(Held, table, "text", "n")(iter([batch])))
+        assert out["n"].to_pylist() == list(map(len, want))
+    finally:
+        tc.Splitter = strong
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_pretokens_agree_with_the_library_on_odd_texts(name):
     from heliograph.llm.pretok import PieceCache, Splitter, rules_from
