@@ -1,23 +1,24 @@
 """SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
 A fingerprint has 8 positional bytes (place, value).  Two fingerprints that differ
-in at most k <= 2 bits differ in at most 2 bytes, so they share at least 6 of the 8
-positional bytes: the guaranteed minimum.  Lists of one positional byte would hold
-1/256 of all fingerprints and make about n*n/64 pairs, so the index is keyed by
-6 positional bytes at once, each of the 28 choices of 6 places being a list of its
-own.  Every pair that can reach the minimum meets in at least one list.  For a pair
-that meets, the shared positional bytes are tallied, pairs below the minimum are
-left out, and the differing bits of the rest are verified, all inside the join.
-
-A list is bounded: its fingerprints are distinct and agree on 48 of 64 bits, so it
-has at most 65,536 of them, however many documents there are.  Equal fingerprints
-are collapsed before, with a partial aggregate; copies never meet as pairs.
+in at most 2 bits differ in at most 2 bytes, so they share at least 6 of the 8.  The
+index has a list for every choice of ``WIDTH`` = 5 places and their values: single bytes
+would make lists of 1/256 of all fingerprints and n*n/64 pairs.  For every pair the
+lists that both stand in are tallied: a pair that shares 6 bytes stands in at least
+C(6, 5) = 6 of them, the guaranteed minimum, one that shares 5 only in one.  Pairs that
+reach the minimum are verified on their bits.
+
+A list of more than ``LONG`` fingerprints is not paired.  There every member looks up the
+300 fingerprints that differ from it in one or two of the list's free 24 bits, an equality
+join, so the work stays linear in the list.  Equal fingerprints are collapsed before all
+this with a partial aggregate; copies never meet as pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from pyspark.sql import types as T
 from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.llm.wordscan import chunks
 from heliograph.operators.components import connected_components
-from heliograph.storage import Scratch
+from heliograph.storage import Scratch, join_checked
 
-SHARED = 6
+SHARED, WIDTH = 6, 5
+#: Lists of more fingerprints than this are not paired; their members look their neighbours up.
+LONG = 512
 
 
 def fingerprint_of(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -81,31 +84,57 @@ def fingerprints(docs: DataFrame, *, shingle: int, seed: int = 42, text: str = "
     return base.mapInArrow(tidy(_fingerprints(text, shingle, seed)), schema)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the 8 positional bytes two fingerprints share."""
-    differ = a.bitwiseXOR(b)
-    tally = F.lit(0)
-    for place in range(8):
-        byte = F.shiftrightunsigned(differ, 8 * place).bitwiseAND(F.lit(255))
-        tally = tally + F.when(byte == 0, 1).otherwise(0)
-    return tally
+def _choices() -> list[tuple[int, int]]:
+    """(mask of a choice of WIDTH places as a signed long, mask of the free bits)."""
+    out = []
+    for places in combinations(range(8), WIDTH):
+        mask = sum(255 << (8 * p) for p in places)
+        out.append((mask - (1 << 64 if mask >> 63 else 0), mask ^ ((1 << 64) - 1)))
+    return out
+
+
+def _lists(prints: DataFrame) -> DataFrame:
+    """(fp, places, bytes): each fingerprint in its list of every choice of places."""
+    masked = F.array(*(F.col("fp").bitwiseAND(F.lit(mask)) for mask, _ in _choices()))
+    return prints.select("fp", F.posexplode(masked).alias("places", "bytes"))
+
+
+def tallied(lists: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(src, dst, shared) of pairs, src > dst, that stand together in ``shared`` lists, at least the guaranteed minimum, and are verified."""
+    least = comb(8 - max_bits, WIDTH)
+    a, b = (lists.select("places", "bytes", F.col("fp").alias(x)) for x in ("src", "dst"))
+    pairs = a.join(b, ["places", "bytes"]).where("src > dst")
+    tally = pairs.groupBy("src", "dst").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return tally.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_bits)
 
 
-def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(src, dst) of distinct fingerprints, src > dst, that differ in at most ``max_bits`` <= 2 bits."""
+def _neighbours(lists: DataFrame, max_bits: int) -> DataFrame:
+    """(src, dst) in long lists: each member with its neighbours that differ in a list's free bits, if they are members too."""
+    flips = []
+    for _, free in _choices():
+        bits = [1 << i for i in range(64) if free >> i & 1]
+        flips.append([sum(c) - (1 << 64 if sum(c) >> 63 else 0) for n in range(1, max_bits + 1) for c in combinations(bits, n)])
+    if not flips[0]:
+        return lists.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
+    table = F.broadcast(lists.sparkSession.createDataFrame(list(enumerate(flips)), "places int, flips array<long>"))  # 56 rows
+    near = lists.join(table, "places").select(F.col("fp").alias("src"), F.explode(F.transform("flips", lambda x: F.col("fp").bitwiseXOR(x))).alias("dst")).where("src > dst")
+    return near.join(lists.select(F.col("fp").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def links(prints: DataFrame, max_bits: int = 2, long: int = LONG) -> DataFrame:
+    """(src, dst) of distinct fingerprints, src > dst, that differ in at most ``max_bits`` <= 2 bits.
+
+    A pair that shares a long list is found there; any other one that qualifies has all
+    its lists among the short ones, so the tally's minimum holds for it.
+    """
     if not 0 <= max_bits <= 8 - SHARED:
         raise ValueError("the index guarantees a meeting for 0 to 2 differing bits")
-    keys = []
-    for c, places in enumerate(combinations(range(8), SHARED)):
-        mask = sum(255 << (8 * p) for p in places)
-        mask -= 1 << 64 if mask >> 63 else 0
-        keys.append(F.struct(F.lit(c).cast("byte").alias("places"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    lists = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.places", "key.bytes")
-    a, b = lists.alias("a"), lists.alias("b")
-    meet = (F.col("a.places") == F.col("b.places")) & (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.fp") > F.col("b.fp"))
-    counted = shared_bytes(F.col("a.fp"), F.col("b.fp")) >= SHARED
-    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    return a.join(b, meet & counted & verified).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct()
+    scratch = Scratch(prints.sparkSession, "bytelists")
+    lists = _lists(prints)
+    held = scratch.table(lists.groupBy("places", "bytes").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    shared = scratch.table(join_checked(lists, held, ["places", "bytes"]), "shared")
+    found = tallied(shared.where(F.col("held") <= long), max_bits).select("src", "dst")
+    return found.unionByName(_neighbours(shared.where(F.col("held") > long), max_bits)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int, max_bits: int = 2, seed: int = 42, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

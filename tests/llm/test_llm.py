@@ -312,9 +312,32 @@ def test_simhash_links_are_all_pairs_within_two_bits(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(60)]
     values = {*base, *(v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in base for _ in range(4)), *(v ^ (7 << rng.randrange(60)) for v in base)}
+    crowd = rng.getrandbits(40)
+    values |= {rng.getrandbits(24) << 20 & (1 << 64) - 1 ^ crowd << 24 & ~(0xFFFFFF << 20) for _ in range(300)}  # agree on five bytes or so
     signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
-    got = {(r.src, r.dst) for r in links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()}
-    assert got == {(a, b) for a in signed for b in signed if a > b and (signed[a] ^ signed[b]).bit_count() <= 2}
+    df = spark.createDataFrame([(v,) for v in signed], "fp long").cache()
+    for bits in (0, 1, 2):
+        want = {(a, b) for a in signed for b in signed if a > b and (signed[a] ^ signed[b]).bit_count() <= bits}
+        for long in (256, 2):
+            assert {(r.src, r.dst) for r in links(df, bits, long).collect()} == want
+    with pytest.raises(ValueError):
+        links(df, 3)
+
+
+def test_simhash_count_filter_rejects_pairs_below_the_minimum(spark):
+    from heliograph.llm.simhash import _lists, tallied
+
+    # bytes shared with zero: 7, 6, 5 (three bits apart in three bytes), 5 (one list), 4 (no list)
+    values = [0, 1, 1 | 1 << 8, 1 | 1 << 8 | 1 << 16, 3 << 40 | 1 << 48 | 1 << 56, 1 | 1 << 8 | 1 << 16 | 1 << 24]
+    got = {(r.src, r.dst): r.shared for r in tallied(_lists(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    assert got[1, 0] == 21 and got[values[2], 0] == 6
+    assert (values[3], 0) not in got and (values[4], 0) not in got and (values[5], 0) not in got
+    lists = _lists(spark.createDataFrame([(v,) for v in values], "fp long")).collect()
+    met = Counter()
+    for p, v in {(r.places, r.bytes) for r in lists}:
+        own = {r.fp for r in lists if (r.places, r.bytes) == (p, v)}
+        met.update((a, b) for a in own for b in own if a > b)
+    assert met[values[3], 0] == 1 and met[values[4], 0] == 1 and (values[5], 0) not in met  # the filter, not the lists, rejects these
 
 
 def test_near_copies_are_verified_on_shingles(spark, docs, rows):
