@@ -182,9 +182,49 @@ def test_nearest_neighbours_recall_ties_and_unfit_vectors(spark):
         assert got[q] == sorted(got[q]) and all(abs(s - d[i]) < 1e-12 for s, i in got[q])
     assert set(got) == set(range(0, 600, 20)) and hits >= 0.9 * 150
     assert got[300][0] == (0.0, 10)
-    blocks = nearest(df, df.where("vec_id % 20 = 0"), k=5, block=7)
+    blocks = nearest(df, df.where("vec_id % 20 = 0"), k=5, block_bytes=30_000)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found))
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+    # repeated rows are candidates each, the query's own id never
+    twice = nearest(df.union(df.where("vec_id in (10, 11)")), df.where("vec_id = 300"), k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in twice[:2]] == [(10, 0.0), (10, 0.0)]
+
+
+def test_every_query_has_k_neighbours_and_huge_components_are_measured(spark):
+    from heliograph.llm.ann import nearest
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(40, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m[:12])] + [(100 + i, [float(x) * 1e200 for x in v]) for i, v in enumerate(m[12:15])]
+    rows += [(200, [1.7e308] * 8), (201, [-1.7e308] * 8), (202, [1e-200] * 8), (203, [2e-200] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in nearest(df, df, k=18).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q, v in rows:
+        d = sorted((math.dist(v, w) if max(map(abs, v + w)) < 1e308 else math.hypot(*(a - b for a, b in zip(v, w))), i) for i, w in rows if i != q)
+        assert [i for _, i in got[q]] == [i for _, i in d] or math.inf in (s for s, _ in d)
+        assert len(got[q]) == 18 and all(s == t or abs(s - t) <= 1e-12 * t for (s, _), (t, _) in zip(got[q], d))
+    assert len(nearest(df.where("vec_id < 4"), df.where("vec_id < 4"), k=10).collect()) == 12
+    wide = df.select("vec_id", "embedding", F.lit(1).alias("score"), F.lit(2).alias("rank"))
+    assert nearest(wide, wide, k=2).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_the_nearest_query_finds_nine_in_ten(spark, data):
+    from heliograph.llm.ann import op4_cross_polytope
+
+    rows = [(r.vec_id, np.array(r.embedding, np.float64)) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r.embedding]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = defaultdict(set)
+    for r in op4_cross_polytope(spark, data).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(axis=1))
+        want = set(ids[np.lexsort((ids, d))][:11].tolist()) - {q}
+        assert len(got[q]) == 10
+        hits, total = hits + len(want & got[q]), total + 10
+    assert hits >= 0.9 * total
 
 
 # -- op 5 -----------------------------------------------------------------------------
