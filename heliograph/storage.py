@@ -19,10 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; reads ``spark.checkpoint.dir`` and sets one only where it is unset."""
+    """The shared folder; reads ``spark.checkpoint.dir`` and sets one only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="heliograph-")
@@ -55,8 +57,19 @@ class Scratch:
         _delete(self.spark, f"{self.base}/{name}")
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = 300_000) -> DataFrame:
-    """Broadcast ``small`` only if it is a written table of at most ``max_rows`` rows; else Spark shuffles both sides."""
-    if small.count() <= max_rows:
+#: How much larger a written table may be in memory than in its files.
+EXPANDS = 8
+
+
+def written_bytes(table: DataFrame) -> int:
+    """The size of the folders whose files ``table`` is read from."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    folders = [jvm.org.apache.hadoop.fs.Path(x) for x in {f.rsplit("/", 1)[0] for f in table.inputFiles()}]
+    return sum(x.getFileSystem(conf).getContentSummary(x).getLength() for x in folders)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``small``, read from a written table, only if its files show that it takes about ``max_bytes`` at most; else Spark shuffles both sides."""
+    if written_bytes(small) * EXPANDS <= max_bytes:
         small = F.broadcast(small)
     return big.join(small, on, how)
