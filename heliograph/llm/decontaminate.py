@@ -5,9 +5,10 @@ characters.  A benchmark item gives every window of n consecutive words; an item
 of fewer words, but not none, is one window.  Training texts are scanned window
 by window against the hash set; each hit is verified on the words themselves.
 
-The set is broadcast in blocks of at most ``max_grams`` windows.  Its size is
-checked first; a larger benchmark runs as several blocks chained over the same
-rows, so no text is ever shuffled and no worker holds more than one block.
+The set is broadcast as sorted arrays, in blocks of about ``block_bytes``.  Its size is
+checked first; a larger benchmark runs as several blocks one after another, the rows and
+what was found in them written between, and each block is released before the next is
+sent.  So no text is ever shuffled and no worker holds more than one block.
 """
 
 from __future__ import annotations
@@ -54,15 +55,45 @@ def benchmark_grams(benchmark: DataFrame, n: int, item: str = "item_id", text: s
     return slim.mapInArrow(tidy(_grams(n)), "size int, hash long, gram string, item string").distinct()
 
 
-class _Block:
-    """One block of windows: sorted hashes by window size, with the windows' words and items behind each."""
+class _Packed:
+    """Byte strings end to end."""
+
+    def __init__(self, values: pa.ChunkedArray):
+        parts = values.to_pylist()
+        self.ends = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+        self.data = b"".join(parts)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.data[self.ends[i] : self.ends[i + 1]]
 
-    def __init__(self, rows: list):
-        by_size: dict[int, dict[int, dict[bytes, list[str]]]] = {}
-        for size, h, gram, item in rows:
-            by_size.setdefault(size, {}).setdefault(h, {}).setdefault(gram.encode(), []).append(item)
-        self.sizes = {s: (np.sort(np.array(list(d), np.int64).view(np.uint64)), d) for s, d in by_size.items()}
-        self.maps = {}
+
+class _Block:
+    """One block of windows in sorted arrays: hashes by window size, and the words and items behind each."""
+
+    def __init__(self, size: np.ndarray, hashes: np.ndarray, grams: _Packed, items: _Packed):
+        self.grams, self.items, self.sizes, self.maps = grams, items, {}, {}
+        order = np.lexsort((hashes, size))
+        for s in np.unique(size).tolist():
+            own = order[size[order] == s]
+            self.sizes[s] = (hashes[own], own)
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> _Block:
+        """A bounded number of rows, collected as Arrow."""
+        got = rows.select("size", "hash", F.col("gram").cast("binary").alias("gram"), F.col("item").cast("binary").alias("item")).toArrow()
+        kept = [_Packed(got[c]) for c in ("gram", "item")]
+        return cls(got["size"].to_numpy(), got["hash"].to_numpy().view(np.uint64), *kept)
+
+    def matches(self, size: int, h: np.uint64, text: bytes) -> list[str]:
+        """Items with this very window."""
+        known, rows = self.sizes[size]
+        out = []
+        for k in range(np.searchsorted(known, h), len(known)):
+            if known[k] != h:
+                break
+            if self.grams[rows[k]] == text:
+                out.append(self.items[rows[k]].decode())
+        return out
 
     def hits(self, texts: list[str]):
         """(words of each text, {text: ([word ranges], {items})}) for a chunk of texts."""
@@ -75,7 +106,7 @@ class _Block:
         first = np.cumsum(n_words) - n_words
         words = range_hashes(low, starts, ends)
         found: dict[int, tuple[list, set]] = {}
-        for size, (known, grams) in self.sizes.items():
+        for size, (known, _) in self.sizes.items():
             seen = window_hashes(words, size)
             if size not in self.maps:
                 self.maps[size] = np.zeros(1 << 20, bool)
@@ -85,8 +116,7 @@ class _Block:
             place = np.minimum(np.searchsorted(known, seen[at]), len(known) - 1)
             for i in at[known[place] == seen[at]]:
                 text = b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + size))
-                items = grams[int(seen[i : i + 1].view(np.int64)[0])].get(text)
-                if items:
+                if items := self.matches(size, seen[i], text):
                     d = int(owner[i])
                     spans, whose = found.setdefault(d, ([], set()))
                     spans.append((int(i - first[d]), int(i - first[d]) + size))
@@ -127,16 +157,21 @@ def _scan(block, text: str):
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", max_grams: int = 1_000_000) -> DataFrame:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = 64 << 20, names: tuple[str, str, str] = ("n_words", "hit_ranges", "hit_items")
+) -> DataFrame:
     """``docs`` plus n_words long, hit_ranges array<int> (start, end, start, end, ... in words) and hit_items array<string>.
 
     Null texts have no words.  Repeated rows are scanned each; an empty benchmark hits
-    nothing; input columns named like the outputs are replaced.
+    nothing, as do items without an id; input columns named like the outputs (``names``)
+    are replaced.
     """
     spark = docs.sparkSession
-    grams = Scratch(spark, "grams").table(benchmark_grams(benchmark, n, item, item_text), "grams")
-    n_blocks = max(1, -(-grams.count() // max_grams))
-    base = without(docs, "n_words", "hit_ranges", "hit_items", *STATE)
+    scratch = Scratch(spark, "grams")
+    grams = scratch.table(benchmark_grams(benchmark, n, item, item_text).where("item is not null"), "grams")
+    size = grams.agg(F.sum(F.octet_length("gram") + F.octet_length("item") + 32)).first()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
+    base = without(docs, *names, *STATE)
     rows = base.withColumns(
         {STATE[0]: F.lit(0).cast("long"), STATE[1]: F.array().cast("array<int>"), STATE[2]: F.array().cast("array<string>")}
     )
@@ -145,18 +180,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "tex
     )
     for b in range(n_blocks):
         own = grams.where(F.pmod("hash", F.lit(n_blocks)) == b) if n_blocks > 1 else grams
-        block = spark.sparkContext.broadcast(_Block([tuple(x) for x in own.collect()]))
+        block = spark.sparkContext.broadcast(_Block.of(own))
         rows = rows.mapInArrow(tidy(_scan(block, text)), schema)
-    return rows.select(*[f"`{c}`" for c in base.columns], F.col(STATE[0]).alias("n_words"), F.col(STATE[1]).alias("hit_ranges"), F.col(STATE[2]).alias("hit_items"))
+        if b + 1 < n_blocks:
+            rows = scratch.table(rows, f"block{b}")
+            block.destroy()
+            if b:
+                scratch.drop(f"block{b - 1}")
+    return rows.select(*[f"`{c}`" for c in base.columns], *(F.col(s).alias(x) for s, x in zip(STATE, names, strict=True)))
 
 
-def _cut(text: str):
+def _cut(text: str, ranges: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             at = names.index(text)
             texts = batch.column(at).to_pylist()
-            for i, r in enumerate(batch.column(names.index("hit_ranges")).to_pylist()):
+            for i, r in enumerate(batch.column(names.index(ranges)).to_pylist()):
                 if r:
                     data = texts[i].encode()
                     _, starts, ends = words_of(data)
@@ -175,16 +215,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
 
     remove="documents" drops every document with a hit; remove="spans" keeps all
     documents and puts a line break for each run of hit words.  Documents without a
-    hit, null texts among them, stay as they are.
+    hit, null texts among them, stay as they are, with all their columns.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    found = scan(docs, benchmark, text=text, **options)
+    names = ("__words_seen", "__hit_ranges", "__hit_items")
+    found = scan(docs, benchmark, text=text, names=names, **options)
     if remove == "documents":
-        kept = found.where(F.size("hit_ranges") == 0)
+        kept = found.where(F.size(names[1]) == 0)
     else:
-        kept = found.mapInArrow(tidy(_cut(text)), found.schema)
-    return kept.select(*[f"`{c}`" for c in docs.columns if c in kept.columns])
+        kept = found.mapInArrow(tidy(_cut(text, names[1])), found.schema)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_benchmark_ngrams(spark, sf_dir):
