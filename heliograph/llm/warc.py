@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.tables import read, tidy
+from heliograph.llm.tables import read, tidy, without
 from heliograph.storage import Scratch, join_checked
 
 BLOCK = 1 << 16
@@ -85,17 +85,18 @@ def records_of(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file, of one member or several, in bounded blocks."""
-    box = zlib.decompressobj(GZIP)
+    """The bytes of a gzip file, of one member or several, in bounded blocks; a file cut short is an error."""
+    box, begun = zlib.decompressobj(GZIP), False
     while data := stream.read(BLOCK):
         while data:
+            begun = True
             yield box.decompress(data, 16 * BLOCK)
             if box.eof:
-                data, box = box.unused_data, zlib.decompressobj(GZIP)
+                data, box, begun = box.unused_data, zlib.decompressobj(GZIP), False
             else:
                 data = box.unconsumed_tail
-    while tail := box.decompress(box.unconsumed_tail, 16 * BLOCK):
-        yield tail
+    if begun:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def parsed(raw: bytes) -> dict:
@@ -135,7 +136,8 @@ class Store:
 
 def _written(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, n = f"part-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        number, n = TaskContext.get().partitionId(), 0
+        name = f"part-{number:06d}.warc.gz"
 
         def parts():
             nonlocal n
@@ -144,7 +146,8 @@ def _written(uri: str):
                 for own, target, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     n += 1
                     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", target or "about:blank")
-                    own, payload = "null" if own is None else own, payload or b""
+                    # a page without an id still has a record id of its own
+                    own, payload = f"null:{number}:{n}" if own is None else own, payload or b""
                     yield box.compress(record("response" if first is None else "revisit", own, target, payload, first))
             yield box.flush()
 
@@ -227,16 +230,24 @@ def read_records(index: DataFrame, uri: str) -> DataFrame:
 def with_revisits(pages: DataFrame, *, page_id: str = "page_id", payload: str = "payload", min_bytes: int = 0) -> DataFrame:
     """``pages`` plus refers_to: the smallest id with an equal payload of at least ``min_bytes``, null for that page itself.
 
-    Only payloads that occur more than once are joined, so unlike pages are not shuffled
-    while those are few; copies are counted by a partial aggregate.
+    Payloads are equal if their SHA-1 is.  Rows that repeat the smallest id are all
+    responses.  A page without an id refers to the smallest id of its copies, but no
+    page refers to it; pages without an id alone are responses.  A null payload has no
+    copy.  An empty table stays empty; an input column named refers_to is replaced.
+
+    Copies are counted by a partial aggregate of digests.  Only ids and digests are
+    joined to the first of each; whole pages then meet the table of revisits, by id,
+    which is broadcast if it is small.
     """
-    keyed = pages.withColumn("__digest", F.sha1(payload))
-    eligible = keyed.where(F.octet_length(payload) >= min_bytes)
-    several = eligible.groupBy("__digest").agg(F.count("*").alias("__n"), F.min(page_id).alias("__first")).where("__n > 1").drop("__n")
-    several = Scratch(pages.sparkSession, "payloads").table(several, "several")
-    joined = join_checked(keyed, several, "__digest", "left")
-    refers = F.when((F.octet_length(payload) >= min_bytes) & (F.col("__first") != F.col(page_id)), F.col("__first"))
-    return joined.withColumn("refers_to", refers).drop("__digest", "__first")
+    scratch = Scratch(pages.sparkSession, "payloads")
+    base = without(pages, "refers_to")
+    slim = scratch.table(base.where(F.octet_length(payload) >= min_bytes).select(F.col(page_id).alias("id"), F.sha1(payload).alias("digest")), "digests")
+    several = scratch.table(slim.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1 and first is not null").drop("n"), "several")
+    revisits = join_checked(slim, several, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "first").distinct()
+    revisits = scratch.table(revisits, "revisits")
+    same = F.col(page_id).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.sha1(payload)) & (F.octet_length(payload) >= min_bytes)
+    joined = join_checked(base, revisits.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("first").alias("refers_to")), same, "left")
+    return joined.drop("__id", "__digest")
 
 
 def op9_gzip_normaliser(spark, sf_dir):
@@ -249,7 +260,7 @@ def op9_gzip_normaliser(spark, sf_dir):
     index = scratch.table(normalise(archives, f"{scratch.base}/monolithic", f"{scratch.base}/members"), "index")
     scratch.drop("monolithic")
     back = read_records(index, f"{scratch.base}/members")
-    page = F.when(F.col("record") != "null", F.col("record")).cast("long")
+    page = F.when(~F.col("record").startswith("null"), F.col("record")).cast("long")
     return back.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
@@ -259,6 +270,6 @@ bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: printf
 first AS (SELECT html, min(page_id) AS page_id FROM payloads GROUP BY html)
 SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes,
  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[16 * b[5 * i + 1]::INT + 8 * b[5 * i + 2]::INT + 4 * b[5 * i + 3]::INT + 2 * b[5 * i + 4]::INT + b[5 * i + 5]::INT + 1]), '') AS payload_digest,
- CASE WHEN f.page_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.page_id <> p.page_id THEN f.page_id END AS refers_to
+ CASE WHEN f.page_id IS NOT DISTINCT FROM p.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f.page_id IS DISTINCT FROM p.page_id THEN f.page_id END AS refers_to
 FROM bits p JOIN first f USING (html)
 """

@@ -145,13 +145,15 @@ def test_decontamination_against_brute_force(spark, docs, rows):
                     items |= found
         return len(w), len(hit), sorted(items)
 
-    for most in (1_000_000, 7):
-        out = scan(docs, b, max_grams=most).collect()
+    for most in (64 << 20, 600):
+        out = scan(docs, b, block_bytes=most).collect()
         assert len(out) == len(rows)
         for r in out:
             assert (r.n_words, sum(r.hit_ranges[1::2]) - sum(r.hit_ranges[::2]), sorted(r.hit_items)) == expected(r.text)
     clean = [r for r in rows if not expected(r[1])[1]]
-    assert decontaminate(docs, b).count() == len(clean)
+    kept = decontaminate(docs, b)
+    assert kept.count() == len(clean) and kept.columns == docs.columns and {r.n_words for r in kept.collect()} == {7}
+    assert decontaminate(docs.withColumnRenamed("shard", "hit_items"), b, remove="spans").where("hit_items = 'x'").count() == len(rows)
     cut = decontaminate(docs, b, remove="spans")
     assert cut.count() == len(rows) and scan(cut, b).where("size(hit_ranges) > 0").count() == 0
     assert scan(docs, b.limit(0)).where("size(hit_ranges) > 0").count() == 0
@@ -578,6 +580,33 @@ def test_warc_round_trip(spark, tmp_path):
         list(records_of(iter([b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"])))
 
 
+def test_an_archive_cut_at_a_records_edge_is_an_error():
+    import io
+
+    from heliograph.llm.warc import inflated, record, records_of
+
+    raw = [record("response", str(i), "http://h", random.Random(i).randbytes(3000)) for i in range(3)]
+    box = zlib.compressobj(6, zlib.DEFLATED, 31)
+    parts = [box.compress(r) + box.flush(zlib.Z_FULL_FLUSH) for r in raw]
+    whole = b"".join([*parts, box.flush()])
+    assert list(records_of(inflated(io.BytesIO(whole)))) == raw
+    with pytest.raises(ValueError):
+        list(records_of(inflated(io.BytesIO(b"".join(parts[:2])))))
+    members = [(c := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(r) + c.flush() for r in raw]
+    assert list(records_of(inflated(io.BytesIO(b"".join(members))))) == raw
+
+
+def test_revisits_of_repeated_pages_and_pages_without_an_id(spark):
+    from heliograph.llm.warc import with_revisits
+
+    rows = [(3, b"a"), (1, b"a"), (1, b"a"), (2, b"b"), (None, b"a"), (None, b"c"), (None, b"c"), (5, None), (6, b""), (7, b"")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, payload binary, refers_to string").repartition(2)
+    got = Counter((r.page_id, r.payload and bytes(r.payload), r.refers_to) for r in with_revisits(df).collect())
+    want = [(3, b"a", 1), (1, b"a", None), (1, b"a", None), (2, b"b", None), (None, b"a", 1), (None, b"c", None), (None, b"c", None), (5, None, None), (6, b"", None), (7, b"", 6)]
+    assert got == Counter(want)
+    assert {r.refers_to for r in with_revisits(df, min_bytes=2).collect()} == {None} and with_revisits(df.limit(0)).count() == 0
+
+
 def test_normaliser_makes_one_member_a_record_with_an_index(spark, tmp_path):
     import gzip
     import json
