@@ -8,15 +8,18 @@ that place; any other place is variable.  So a field of common words becomes var
 at some level however large the leaf is, and a rare template beside a frequent one
 still has its own level.  Where a line's constant tokens make up less than
 ``similarity`` of its tokens without a digit, that level gives it no template.  A
-template found in at least ``min_docs`` different texts is recurring, and its lines are
-dropped everywhere but in the document with the smallest id that has it, so that no
+template found in at least ``min_docs`` different texts is recurring.  A long line, of
+more than ``long_tokens`` tokens, has its own words as one more template, without any
+field, and that recurs from two different texts on.  Lines of a recurring template are
+dropped everywhere but in the text whose document has the smallest id, so that no
 wording leaves the corpus altogether.
 
-Different texts are counted, not rows: copies of one document don't make its own
-lines recur.  Only leaves with enough different texts go on, so all later steps see a
-small share of the lines; lines of fewer than ``min_tokens`` tokens have no template.
-Every count is a partial aggregate; texts move only if the
-dropped line numbers are too many to broadcast.
+Different texts are counted, not rows, and all copies of a text are treated alike: they
+don't make their own lines recur and stay copies of one another.  Only leaves with enough
+different texts go on, so all later steps see a small share of the lines; lines of fewer
+than ``min_tokens`` tokens have no template and stay, however often they occur.  Every
+count is a partial aggregate; texts move only if the dropped line numbers are too many to
+broadcast.
 """
 
 from __future__ import annotations
@@ -43,15 +46,20 @@ def tokens_of(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\t\x0B\f\r]"), masked).otherwise(plain)
 
 
-def dropped_lines(docs: DataFrame, *, min_docs: int = 20, depth: int = 3, min_tokens: int = 3, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(d, h, drops): by document id and text hash, the numbers (from 0) of the lines to drop."""
+def dropped_lines(
+    docs: DataFrame, *, min_docs: int = 20, depth: int = 3, min_tokens: int = 3, similarity: float = 0.8, long_tokens: int = 50, text: str = "text", doc_id: str = "doc_id"
+) -> DataFrame:
+    """(h, drops): by text hash, the numbers (from 0) of the lines to drop."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
     lines = rows.withColumn("t", tokens_of(F.col("line"))).where(F.size("t") >= min_tokens)
     lines = lines.withColumn("node", F.xxhash64(F.size("t"), F.slice("t", 1, depth)))
-    nodes = lines.select("node", "h").distinct().groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("node")
+    words = F.xxhash64(F.lit("words"), F.array_remove(F.split("line", GAPS), ""))
+    index = scratch.table(lines.select("d", "h", "no", "node", F.when(F.size("t") > long_tokens, words).alias("words")), "index")
+    nodes = index.select("node", "h").distinct().groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("node")
     nodes = scratch.table(nodes, "nodes")
-    held = scratch.table(join_checked(lines.select("d", "h", "no", "node", "t"), nodes, "node", "left_semi").dropDuplicates(["d", "h", "no"]), "held")
+    held = join_checked(lines.select("d", "h", "no", "node", "t"), nodes, "node", "left_semi")
+    held = scratch.table(held.groupBy("h", "no").agg(F.min("d").alias("d"), F.first("node").alias("node"), F.first("t").alias("t")), "held")
 
     plain = F.size(F.filter("t", lambda x: x != FIELD)).alias("plain")
     fields = held.select("d", "h", "no", "node", plain, F.posexplode("t").alias("place", "token")).where(F.col("token") != FIELD)
@@ -70,13 +78,14 @@ def dropped_lines(docs: DataFrame, *, min_docs: int = 20, depth: int = 3, min_to
     shapes = levels.select("d", "h", "no", "node", "plain", F.explode(F.transform("ls", lambda x: F.struct(fixed(x).alias("fixed"), mark(x).alias("mark")))).alias("x"))
     shaped = shapes.where(F.col("x.fixed") >= F.col("plain") * similarity)
     shaped = shaped.select("d", "h", "no", F.xxhash64("node", "x.fixed", "x.mark").alias("template"))
-    shaped = scratch.table(shaped, "shaped")
+    same_words = index.where("words is not null").select("d", "h", "no", F.col("words").alias("template"), F.lit(2).alias("least"))
+    shaped = scratch.table(shaped.withColumn("least", F.lit(min_docs)).unionByName(same_words), "shaped")
 
-    texts = shaped.groupBy("template", "h").agg(F.min("d").alias("d"))
-    recurring = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_docs).drop("n")
+    texts = shaped.groupBy("template", "least", "h").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d")).alias("d"))
+    recurring = texts.groupBy("template", "least").agg(F.count("*").alias("n"), F.min(F.struct("d", "h"))["h"].alias("first")).where("n >= least").select("template", "first")
     recurring = scratch.table(recurring, "recurring")
-    gone = join_checked(shaped, recurring, "template").where(~F.col("d").eqNullSafe(F.col("first")))
-    return scratch.table(gone.groupBy("d", "h").agg(F.array_sort(F.collect_set("no")).alias("drops")), "drops")
+    gone = join_checked(shaped, recurring, "template").where("h <> first")
+    return scratch.table(gone.groupBy("h").agg(F.array_sort(F.collect_set("no")).alias("drops")), "drops")
 
 
 def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -88,9 +97,9 @@ def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     and joined in its own row, never across rows.
     """
     base = without(docs, "n_lines", "n_dropped", "__h", "__drops")
-    drops = dropped_lines(base, text=text, doc_id=doc_id, **options).select(F.col("d").alias("__d"), F.col("h").alias("__hd"), F.col("drops").alias("__drops"))
+    drops = dropped_lines(base, text=text, doc_id=doc_id, **options).select(F.col("h").alias("__hd"), F.col("drops").alias("__drops"))
     keyed = base.withColumn("__h", F.xxhash64(text))
-    joined = join_checked(keyed, drops, (F.col("__h") == F.col("__hd")) & F.col(doc_id).eqNullSafe(F.col("__d")), "left")
+    joined = join_checked(keyed, drops, F.col("__h") == F.col("__hd"), "left")
     lines = F.split(text, "\n", -1)
     n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drops")
@@ -108,22 +117,23 @@ def op7_line_templates(spark, sf_dir):
 
 SQL = r"""
 WITH rows AS (SELECT doc_id AS d, text AS h, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT DISTINCT d, h, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM rows),
-split AS (SELECT d, h, no, list_transform(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> ''),
-                 lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM lines),
-placed AS (SELECT *, len(t) || chr(10) || array_to_string(t[1:3], ' ') AS node FROM split WHERE len(t) >= 3),
+lines AS (SELECT min(d) AS d, h, no, line FROM (SELECT d, h, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM rows) GROUP BY h, no, line),
+split AS (SELECT d, h, no, list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM lines),
+masked AS (SELECT *, list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM split),
+placed AS (SELECT *, len(t) || chr(10) || array_to_string(t[1:3], ' ') AS node FROM masked WHERE len(t) >= 3),
 nodes AS (SELECT node FROM placed GROUP BY node HAVING count(DISTINCT h) >= 20),
 held AS (SELECT * FROM placed WHERE node IN (SELECT node FROM nodes)),
 fields AS (SELECT * FROM (SELECT d, h, no, node, unnest(range(len(t))) AS place, unnest(t) AS token FROM held) WHERE token <> '<*>'),
-constant AS (SELECT node, place, token FROM fields GROUP BY ALL HAVING count(*) >= 20),
+constant AS (SELECT node, place, token FROM fields GROUP BY ALL HAVING count(DISTINCT h) >= 20),
 marks AS (SELECT d, h, no, node, count(*) AS fixed, string_agg(place || ' ' || token, chr(10) ORDER BY place) AS mark
           FROM fields JOIN constant USING (node, place, token) GROUP BY ALL),
-shaped AS (SELECT m.d, m.h, m.no, m.node || chr(10) || m.mark AS template FROM marks m JOIN held USING (d, h, no)
-           WHERE m.fixed >= len(list_filter(t, lambda x: x <> '<*>')) * 0.8::DOUBLE),
-recurring AS (SELECT template, min(d) AS first FROM shaped GROUP BY template HAVING count(DISTINCT h) >= 20),
-drops AS (SELECT d, h, list(no) AS gone FROM shaped JOIN recurring USING (template) WHERE d <> first GROUP BY d, h),
+shaped AS (SELECT m.d, m.h, m.no, m.node || chr(10) || m.mark AS template, 20 AS least FROM marks m JOIN held USING (h, no)
+           WHERE m.fixed >= len(list_filter(t, lambda x: x <> '<*>')) * 0.8::DOUBLE
+           UNION ALL SELECT d, h, no, 'words' || chr(10) || array_to_string(ws, ' '), 2 FROM placed WHERE len(ws) > 50),
+recurring AS (SELECT template, arg_min(h, d) AS first FROM shaped GROUP BY template, least HAVING count(DISTINCT h) >= least),
+drops AS (SELECT h, list(DISTINCT no) AS gone FROM shaped JOIN recurring USING (template) WHERE h <> first GROUP BY h),
 kept AS (SELECT r.doc_id, r.text, string_split(r.text, chr(10)) AS ls, coalesce(x.gone, []) AS gone
-         FROM documents r LEFT JOIN drops x ON x.d = r.doc_id AND x.h = r.text)
+         FROM documents r LEFT JOIN drops x ON x.h = r.text)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_dropped,
        sha256(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), chr(10))) AS clean_sha256
 FROM kept

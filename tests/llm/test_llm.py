@@ -473,7 +473,7 @@ def test_line_templates_drop_recurring_lines_only(spark):
     out = drop_templates(df, min_docs=20).collect()
     assert len(out) == len(rows)
     for r in out:
-        logged = r.doc_id is not None and r.doc_id < 30 or r.doc_id is None
+        logged = r.doc_id is None or r.doc_id < 30
         assert r.n_dropped == (1 if logged and r.doc_id != 0 else 0), r
         assert (r.text is None) == (r.doc_id == 100)
         if logged and r.doc_id != 0:
@@ -495,6 +495,30 @@ def test_line_templates_have_word_fields_at_every_size(spark, n):
     assert tuple(out) == (n + 39, 0)
 
 
+def test_long_lines_recur_from_two_texts_on_and_copies_stay_copies(spark):
+    from heliograph.llm.line_dedup import SQL, drop_templates
+
+    rng = random.Random(14)
+    own = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    long, short, number = own(60), own(50), "on 12 June " + own(60)
+    rows = [(i, f"{own(9)}\n{long}\n{short}\n{number.replace('12', str(i))}\nLes.") for i in (3, 4, 5)]
+    rows += [(i, rows[0][1]) for i in (1, 2)]  # copies of the first, of a smaller id
+    rows += [(9, "  ".join(long.split()) + "\n" + own(4)), (10, None), (11, ""), (None, long + "\nx y z"), (12, "w " * 60_000)]
+    rows += [(20 + i, f"{own(7)}\nLes.\nyes no") for i in range(25)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, __h int").repartition(3)
+    by = {r.doc_id: (r.n_dropped, r.text) for r in drop_templates(df).collect()}
+    assert by[1] == by[2] == by[3] == (0, rows[0][1])
+    for i in (4, 5):  # same words: dropped; 50 words, or another number: not
+        assert by[i][0] == 1 and long not in by[i][1] and short in by[i][1] and f"on {i} June" in by[i][1]
+    assert by[9][0] == 1 and by[None] == (1, "x y z") and by[12][0] == 0 and all(by[20 + i][0] == 0 for i in range(25))
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: r[2] for r in con.sql(SQL).fetchall()} == {i: n for i, (n, _) in by.items()}
+
+
 # -- op 8 -----------------------------------------------------------------------------
 
 
