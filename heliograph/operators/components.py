@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,14 +72,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
     ends = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    current = scratch.table(
-        ends.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "round0"
-    )
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+        """The table and its mark (rows, digest), observed while it is written: one job a round."""
+        seen = Observation()
+        table = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("digest")), name)
+        return table, (seen.get["n"], seen.get["digest"])
 
-    before = mark(current)
+    current, before = written(ends.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "round0")
     if before[0] <= one_task_edges:
         kind = current.schema["u"].dataType
         schema = T.StructType([T.StructField("node", kind), T.StructField("component", kind)])
@@ -87,10 +87,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for k in range(1, max_rounds + 1):
         if before[0] == 0:
             break
-        current = scratch.table(_star(_star(current, large=True), large=False), f"round{k}")
-        if k > 1:
-            scratch.drop(f"round{k - 1}")
-        after = mark(current)
+        current, after = written(_star(_star(current, large=True), large=False), f"round{k}")
+        scratch.drop(f"round{k - 1}")
         if after == before:
             break
         before = after
