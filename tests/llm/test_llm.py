@@ -446,6 +446,24 @@ def test_near_copies_of_a_family_of_revisions(spark):
     assert got == want and len(set(want.values())) < 20
 
 
+def test_near_copies_in_crowded_lists(spark, monkeypatch):
+    """Lists of more than two members count as crowded, so that pivots, rounds and split lists do nearly all of the work."""
+    from heliograph.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "CROWD", 2)
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    rng = random.Random(24)
+    passage, texts, w = prose(rng, 60), [], prose(rng, 150).split()
+    for _ in range(60):
+        texts.append(" ".join(w))
+        for i in rng.sample(range(150), 4):
+            w[i] = prose(rng, 1)
+    texts += [f"{passage} {prose(rng, rng.randint(1, 40))}" for _ in range(40)]  # share a passage, some near copies of one another
+    rng.shuffle(texts)
+    got, want = groups_and_brute_force(spark, texts)
+    assert got == want and 10 < len(set(want.values())) < 90
+
+
 def test_texts_that_share_one_frequent_bigram_are_no_copies(spark):
     rng = random.Random(23)
     texts = ["la " * 500 + " ".join(f"{rng.choice(WORDS)}{rng.random()}" for _ in range(400)) for _ in range(12)]
