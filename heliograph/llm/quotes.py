@@ -3,15 +3,20 @@
 A line's quote level is the number of ``>`` marks before its text.  A run of lines of
 one level above zero is a quoted passage; what remains is the message's own text, less
 a line that only announces a quote ("... wrote:").  Passages are normalised (A-Z
-lower-cased, white space collapsed) and hashed.  A message can be quoted by its whole
+lower-cased, ASCII white space collapsed) and hashed.  A message can be quoted by its whole
 own text, by a paragraph of it or by a line of it, so each of these is hashed too; an
 index keeps one row per hash, the earliest message with it.  A passage that is found as a whole
 outranks single lines of a passage; a shallower one outranks a deeper one.
 
+Only messages with a quote mark are parsed line by line, once; the parts of all others
+are split and hashed by DataFrame functions, and only if there is any quote.
+
 A quote is looked for in its own conversation first, among earlier turns.  Passages of
-``min_words`` words or more that are not found there are looked for in the whole
-table, among messages that stand before the quoting one by (conv_id, turn), so links never form a ring.
-Threads are then resolved by pointer jumping over the linked messages only.
+``min_words`` words or more that are not found there are looked for in the whole table,
+first among messages that stand before the quoting one by (conv_id, turn).  Those links go
+back only, so they form trees.  A message still without a link may point forward, into
+another tree than its own, if that tree's top stands before it or points nowhere; so no
+links ever form a ring.  Threads are resolved by pointer jumping over the linked messages.
 """
 
 from __future__ import annotations
@@ -22,23 +27,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.llm.tables import extended, read, tidy, without
-from heliograph.storage import Scratch
+from heliograph.storage import Scratch, join_checked
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ANNOUNCES = re.compile(r"(?i)^\s*(on\b.*|[^\s].*)\bwrote:\s*$")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-UNIT = T.StructType([T.StructField("key", T.LongType()), T.StructField("words", T.IntegerType())])
 QUOTE = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("words", T.IntegerType())])
 
 
+SPACE = r"[ \t\n\x0B\f\r]+"
+
+
 def normalised(text: str) -> str:
-    return " ".join(text.translate(_UPPER).split())
+    return " ".join(x for x in re.split(SPACE, text.translate(_UPPER)) if x)
+
+
+def normal_column(text: Column) -> Column:
+    """``normalised`` as a column."""
+    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE, " "))
 
 
 def key_of(text: str) -> int:
@@ -70,9 +82,11 @@ def _keys(text: str) -> tuple[int, int] | None:
     return (key_of(clean), len(clean.split())) if clean else None
 
 
-def _units(own: str) -> list[tuple[int, int]]:
-    parts = [own, *re.split(r"\n[ \t]*\n", own), *own.split("\n")]
-    return sorted({k for k in map(_keys, parts) if k})
+def _units(own: Column) -> Column:
+    """The keys of a text's parts, as ``key_of`` gives them (XXH64 with Spark's own seed, 42), with their words."""
+    parts = F.array_distinct(F.concat(F.array(own), F.split(own, r"\n[ \t]*\n"), F.split(own, "\n")))
+    clean = F.filter(F.array_distinct(F.transform(parts, normal_column)), lambda x: x != "")
+    return F.transform(clean, lambda x: F.struct(F.xxhash64(x).alias("key"), F.size(F.split(x, " ")).alias("words")))
 
 
 def _quotes(passages: list[tuple[int, str]]) -> list[tuple[int, int, int, int]]:
@@ -87,16 +101,15 @@ def _parsed(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [pa.string(), to_arrow_type(T.ArrayType(UNIT)), to_arrow_type(T.ArrayType(QUOTE)), pa.int64()]
+        kinds = [pa.string(), to_arrow_type(T.ArrayType(QUOTE)), pa.int64()]
         for batch in batches:
             rows = []
             for t in batch.column(batch.schema.names.index(text)).to_pylist():
                 own, passages = parse(t)
-                units = [{"key": k, "words": w} for k, w in _units(own)]
                 quotes = [{"level": n, "part": p, "key": k, "words": w} for n, p, k, w in _quotes(passages)]
-                rows.append((own, units, quotes, len(passages)))
-            own = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "__own", "__units", "__quotes", "n_quotes"])
+                rows.append((own, quotes, len(passages)))
+            own = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "__own", "__quotes", "n_quotes"])
 
     return run
 
@@ -104,52 +117,70 @@ def _parsed(text: str):
 OUT = ("message_id", "thread_conv", "thread_turn", "reply_depth", "parent_conv", "parent_turn", "n_quotes")
 
 
-def link_quotes(messages: DataFrame, *, min_words: int = 3, conv: str = "conv_id", turn: str = "turn", text: str = "text", max_rounds: int = 60) -> DataFrame:
+def _resolved(edges: DataFrame, scratch: Scratch, label: str, max_rounds: int) -> DataFrame:
+    """(m, parent, top, depth) by pointer jumping over the linked messages (m, parent), which form no ring."""
+    found = scratch.table(edges.select("m", "parent", F.col("parent").alias("top"), F.lit(1).cast("long").alias("depth")), f"{label}0")
+    for k in range(1, max_rounds + 1):
+        up = found.select(F.col("m").alias("um"), F.col("top").alias("utop"), F.col("depth").alias("ud"))
+        jumped = found.join(up, F.col("top.m") == F.col("um"), "left")
+        jumped = jumped.select("m", "parent", F.coalesce("utop", "top").alias("top"), (F.col("depth") + F.coalesce("ud", F.lit(0))).alias("depth"), F.col("um").isNotNull().alias("moved"))
+        found = scratch.table(jumped, f"{label}{k}")
+        if not found.where("moved").limit(1).count():
+            return found
+    raise RuntimeError(f"threads did not settle in {max_rounds} rounds")
+
+
+def link_quotes(messages: DataFrame, *, min_words: int = 3, keep_unlinked: bool = True, conv: str = "conv_id", turn: str = "turn", text: str = "text", max_rounds: int = 60) -> DataFrame:
     """``messages`` without their quotes, plus message_id, thread_conv, thread_turn, reply_depth, parent_conv, parent_turn and n_quotes.
 
     Ordered by (thread_conv, thread_turn, reply_depth, turn), every message comes after
     the one it replies to.  A message without a found quote starts its own thread at
-    depth 0.  Null texts become empty; messages without a conversation or turn quote
-    nothing and are never quoted; repeated rows share an id and a place; input columns
-    named like the outputs are replaced.
+    depth 0; it keeps its text whole, since what it marks is no quote of the table's, or
+    loses its marked lines too if ``keep_unlinked`` is false.  Null texts become empty;
+    messages without a conversation or turn quote nothing and are never quoted; repeated
+    rows share an id and a place; very long texts are parsed whole; an empty table stays
+    empty; input columns named like the outputs are replaced.
     """
     scratch = Scratch(messages.sparkSession, "quotes")
-    base = without(messages, *OUT, "__own", "__units", "__quotes")
-    fields = [T.StructField("__own", T.StringType()), T.StructField("__units", T.ArrayType(UNIT)), T.StructField("__quotes", T.ArrayType(QUOTE)), T.StructField("n_quotes", T.LongType())]
-    parsed = base.mapInArrow(tidy(_parsed(text)), extended(base, *fields)).withColumn("message_id", F.xxhash64(conv, turn, text))
-    known = parsed.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
+    base = without(messages, *OUT, "__own", "__quotes", "__linked")
+    fields = [T.StructField("__own", T.StringType()), T.StructField("__quotes", T.ArrayType(QUOTE)), T.StructField("n_quotes", T.LongType())]
+    marked = F.coalesce(F.col(text).rlike(r"(?m)^[ \t]*>"), F.lit(False))
+    parsed = scratch.table(base.where(marked).mapInArrow(tidy(_parsed(text)), extended(base, *fields)), "parsed")
+    plain = base.where(~marked).withColumns({"__own": F.coalesce(text, F.lit("")), "__quotes": F.lit(None).cast(T.ArrayType(QUOTE)), "n_quotes": F.lit(0).cast("long")})
+    number = F.xxhash64(conv, turn, text)
+    whole = plain.unionByName(parsed).withColumn("message_id", number)
     at = F.struct(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col("message_id").alias("m"))
-    quotes = scratch.table(known.select(at.alias("me"), F.explode("__quotes").alias("q")).select("me", "q.*"), "quotes")
+    named = F.col(conv).isNotNull() & F.col(turn).isNotNull()
+    quotes = scratch.table(parsed.withColumn("message_id", number).where(named).select(at.alias("me"), F.explode("__quotes").alias("q")).select("me", "q.*"), "quotes")
     found = None
     if quotes.limit(1).count():
-        units = known.select(at.alias("of"), F.explode("__units").alias("u")).select("of", "u.key", "u.words")
-        asked = quotes.select("key").distinct()
-        units = scratch.table(units.join(asked, "key", "left_semi"), "units")
+        asked = scratch.table(quotes.select("key").distinct(), "asked")
+        units = whole.where(named).select(at.alias("of"), F.explode(_units(F.col("__own"))).alias("u")).select("of", "u.key", "u.words")
+        units = scratch.table(join_checked(units, asked, "key", "left_semi"), "units")
         near = units.groupBy(F.col("of.c").alias("c"), "key").agg(F.min("of").alias("of"))
         inside = quotes.withColumn("c", F.col("me.c")).join(near, ["c", "key"], "left").where(F.col("of.t") < F.col("me.t"))
         far = units.where(F.col("words") >= min_words).groupBy("key").agg(F.min("of").alias("of"))
-        outside = quotes.join(far, "key").where((F.col("of") < F.col("me")) & (F.col("of.c") != F.col("me.c")))
+        elsewhere = quotes.join(far, "key").where(F.col("of.c") != F.col("me.c"))
         rank = lambda own: F.struct(F.lit(own).alias("far"), "level", "part", "of")
-        every = inside.select("me", rank(0).alias("r")).unionByName(outside.select("me", rank(1).alias("r")))
-        best = every.groupBy("me").agg(F.min("r").alias("r"))
-        found = scratch.table(best.select(F.col("me.m").alias("m"), F.col("r.of").alias("parent"), F.col("r.of").alias("top"), F.lit(1).cast("long").alias("depth")), "round0")
+        every = inside.select("me", rank(0).alias("r")).unionByName(elsewhere.where("of < me").select("me", rank(1).alias("r")))
+        links = lambda df: df.groupBy("me").agg(F.min("r").alias("r")).select("me", F.col("me.m").alias("m"), F.col("r.of").alias("parent"))
+        back = scratch.table(links(every), "back")
+        found = _resolved(back, scratch, "round", max_rounds)
+        ahead = links(elsewhere.where("of > me").join(back.select("me"), "me", "left_anti").select("me", rank(2).alias("r")))
+        ahead = scratch.table(ahead, "ahead")
+        if ahead.limit(1).count():
+            tops = ahead.join(found.select(F.col("m").alias("pm"), F.col("top").alias("ptop")), F.col("parent.m") == F.col("pm"), "left").withColumn("top", F.coalesce("ptop", "parent"))
+            points = ahead.select(F.col("m").alias("tm"))
+            tops = tops.join(points, F.col("top.m") == F.col("tm"), "left").where((F.col("top.m") != F.col("m")) & ((F.col("top") < F.col("me")) | F.col("tm").isNull()))
+            found = _resolved(back.select("m", "parent").unionByName(tops.select("m", "parent")), scratch, "ahead", max_rounds)
     if found is None:
         nothing = F.lit(None)
-        out = parsed.withColumns({"parent_conv": nothing.cast(base.schema[conv].dataType), "parent_turn": nothing.cast(base.schema[turn].dataType), "thread_conv": F.col(conv), "thread_turn": F.col(turn), "reply_depth": F.lit(0).cast("long")})
+        out = whole.withColumns({"parent_conv": nothing.cast(base.schema[conv].dataType), "parent_turn": nothing.cast(base.schema[turn].dataType), "thread_conv": F.col(conv), "thread_turn": F.col(turn), "reply_depth": F.lit(0).cast("long"), "__linked": F.lit(False)})
     else:
-        for k in range(1, max_rounds + 1):
-            up = found.select(F.col("m").alias("um"), F.col("top").alias("utop"), F.col("depth").alias("ud"))
-            jumped = found.join(up, F.col("top.m") == F.col("um"), "left")
-            jumped = jumped.select("m", "parent", F.coalesce("utop", "top").alias("top"), (F.col("depth") + F.coalesce("ud", F.lit(0))).alias("depth"), F.col("um").isNotNull().alias("moved"))
-            found = scratch.table(jumped, f"round{k}")
-            if not found.where("moved").limit(1).count():
-                break
-        else:
-            raise RuntimeError(f"threads did not settle in {max_rounds} rounds")
-        links = found.select(F.col("m").alias("message_id"), "parent", "top", F.col("depth").alias("d"))
-        joined = parsed.join(links, "message_id", "left")
-        out = joined.withColumns({"parent_conv": F.col("parent.c"), "parent_turn": F.col("parent.t"), "thread_conv": F.coalesce("top.c", conv), "thread_turn": F.coalesce("top.t", turn), "reply_depth": F.coalesce("d", F.lit(0).cast("long"))})
-    return out.withColumn(text, F.col("__own")).select(*[f"`{c}`" for c in base.columns], *OUT)
+        joined = join_checked(whole, found.select(F.col("m").alias("message_id"), "parent", "top", F.col("depth").alias("d")), "message_id", "left")
+        out = joined.withColumns({"parent_conv": F.col("parent.c"), "parent_turn": F.col("parent.t"), "thread_conv": F.coalesce("top.c", conv), "thread_turn": F.coalesce("top.t", turn), "reply_depth": F.coalesce("d", F.lit(0).cast("long")), "__linked": F.col("d").isNotNull()})
+    own = F.when(F.col("__linked") | F.lit(not keep_unlinked), F.col("__own")).otherwise(F.coalesce(text, F.lit("")))
+    return out.withColumn(text, own).select(*[f"`{c}`" for c in base.columns], *OUT)
 
 
 def op1_quotation_links(spark, sf_dir):
@@ -167,12 +198,12 @@ runs AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM before THEN 1 ELSE 0 END
 passages AS (SELECT r, level, run, string_agg(content, chr(10) ORDER BY i) AS passage FROM runs WHERE level > 0 GROUP BY r, level, run),
 owned AS (SELECT r, trim(string_agg(line, chr(10) ORDER BY i), chr(10)) AS own FROM runs
  WHERE level = 0 AND NOT (coalesce(after, 0) > 0 AND regexp_matches(line, '(?i)^\s*(on\b.*|\S.*)\bwrote:\s*$')) GROUP BY r),
-msg AS (SELECT m.r, conv_id, turn, role, coalesce(p.n, 0) AS n_quotes, CASE WHEN p.n IS NULL THEN coalesce(m.text, '') ELSE coalesce(own, '') END AS own
+msg AS (SELECT m.r, conv_id, turn, role, coalesce(m.text, '') AS whole, coalesce(p.n, 0) AS n_quotes, CASE WHEN p.n IS NULL THEN coalesce(m.text, '') ELSE coalesce(own, '') END AS own
  FROM m LEFT JOIN (SELECT r, count(*) AS n FROM passages GROUP BY r) p ON p.r = m.r LEFT JOIN owned o ON o.r = m.r),
 parts AS (SELECT conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n[ \t]*\n') || string_split(own, chr(10))) AS part FROM msg WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-units AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS key FROM parts),
+units AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS key FROM parts),
 asked AS (SELECT r, level, 0 AS part, passage AS t FROM passages UNION ALL SELECT r, level, 1, unnest(string_split(passage, chr(10))) FROM passages),
-quotes AS (SELECT msg.r, conv_id, turn, level, part, trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS key
+quotes AS (SELECT msg.r, conv_id, turn, level, part, trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS key
  FROM asked JOIN msg ON msg.r = asked.r WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 near AS (SELECT conv_id, key, min(turn) AS t FROM units WHERE key <> '' GROUP BY conv_id, key),
 far AS (SELECT key, min({'c': conv_id, 't': turn}) AS o FROM units WHERE len(string_split(key, ' ')) >= 3 GROUP BY key),
@@ -182,8 +213,17 @@ found AS (SELECT r, {'far': 0, 'level': level, 'part': part, 'c': q.conv_id, 't'
 best AS (SELECT r, min(f) AS f FROM found GROUP BY r),
 walk AS (SELECT r, 1 AS depth, f.c AS tc, f.t AS tt FROM best
  UNION ALL SELECT w.r, w.depth + 1, b.f.c, b.f.t FROM walk w JOIN msg p ON p.conv_id = w.tc AND p.turn = w.tt JOIN best b ON b.r = p.r),
-tops AS (SELECT r, max(depth) AS depth, arg_max(tc, depth) AS tc, arg_max(tt, depth) AS tt FROM walk GROUP BY r)
-SELECT conv_id, turn, role, own AS text, coalesce(tc, conv_id) AS thread_conv, coalesce(tt, turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS reply_depth,
- best.f.c AS parent_conv, best.f.t AS parent_turn, n_quotes::BIGINT AS n_quotes
-FROM msg LEFT JOIN tops ON tops.r = msg.r LEFT JOIN best ON best.r = msg.r
+tops AS (SELECT r, max(depth) AS depth, arg_max(tc, depth) AS tc, arg_max(tt, depth) AS tt FROM walk GROUP BY r),
+ahead AS (SELECT q.r, q.conv_id, q.turn, min({'far': 2, 'level': level, 'part': part, 'c': far.o.c, 't': far.o.t}) AS f FROM quotes q JOIN far ON far.key = q.key
+ WHERE far.o.c > q.conv_id AND q.r NOT IN (SELECT r FROM best) GROUP BY q.r, q.conv_id, q.turn),
+aimed AS (SELECT a.r, a.conv_id, a.turn, any_value(a.f) AS f, min(coalesce(t.tc, a.f.c)) AS tc, min(coalesce(t.tt, a.f.t)) AS tt
+ FROM ahead a JOIN msg p ON p.conv_id = a.f.c AND p.turn = a.f.t LEFT JOIN tops t ON t.r = p.r GROUP BY a.r, a.conv_id, a.turn),
+every AS (SELECT r, f FROM best UNION ALL SELECT a.r, a.f FROM aimed a WHERE NOT (a.tc = a.conv_id AND a.tt = a.turn) AND (a.tc < a.conv_id OR (a.tc = a.conv_id AND a.tt < a.turn)
+ OR NOT EXISTS (SELECT 1 FROM ahead b WHERE b.conv_id = a.tc AND b.turn = a.tt))),
+stroll AS (SELECT r, 1 AS depth, f.c AS tc, f.t AS tt FROM every
+ UNION ALL SELECT w.r, w.depth + 1, b.f.c, b.f.t FROM stroll w JOIN msg p ON p.conv_id = w.tc AND p.turn = w.tt JOIN every b ON b.r = p.r),
+heads AS (SELECT r, max(depth) AS depth, arg_max(tc, depth) AS tc, arg_max(tt, depth) AS tt FROM stroll GROUP BY r)
+SELECT conv_id, turn, role, CASE WHEN every.r IS NULL THEN whole ELSE own END AS text, coalesce(tc, conv_id) AS thread_conv, coalesce(tt, turn) AS thread_turn, coalesce(depth, 0)::BIGINT AS reply_depth,
+ every.f.c AS parent_conv, every.f.t AS parent_turn, n_quotes::BIGINT AS n_quotes
+FROM msg LEFT JOIN heads ON heads.r = msg.r LEFT JOIN every ON every.r = msg.r
 """

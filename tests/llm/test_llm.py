@@ -58,6 +58,8 @@ def test_quotes_link_reorder_and_disappear(spark):
         (2, 0, "f", "> Glad to hear that indeed.\nforwarded"),
         (2, 1, "g", "> something never said before\nhm"),
         (2, 2, None, None), (None, 3, "x", "> Hello there dear friends.\ny"), (3, None, "z", ""), (4, 0, "q", "same"), (4, 0, "q", "same"),
+        (5, 0, "r", "> this was only said later on\nearly bird"), (7, 0, "s", "this was only said later on"), (8, 0, "t", "> EARLY bird\nlast"),
+        (5, 1, "u", "> one ring to rule\nwords of the fifth"), (6, 0, "v", "> words of the fifth\none ring to rule"), (9, 0, "w", ">>> print(1)\n1"), (9, 1, "w", ("word " * 30_000) + "\n> " + "long " * 30_000),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, reply_depth int")
     out = link_quotes(df).orderBy("thread_conv", "thread_turn", "reply_depth", "turn").collect()
@@ -67,9 +69,14 @@ def test_quotes_link_reorder_and_disappear(spark):
     assert got[1, 2] == (1, 0, 2, 1, 1, 2, "Glad to hear that indeed.")
     assert got[1, 4] == (1, 0, 1, 1, 0, 1, "well")
     assert got[2, 0] == (1, 0, 3, 1, 2, 1, "forwarded")
-    assert got[2, 1] == (2, 1, 0, None, None, 1, "hm")
+    assert got[2, 1] == (2, 1, 0, None, None, 1, "> something never said before\nhm")  # no message's words: kept
+    assert got[5, 0] == (7, 0, 1, 7, 0, 1, "early bird")  # said in a later conversation only
+    assert got[6, 0][3:5] == (5, 1) and got[5, 1][3:5] == (None, None)  # no rings
+    assert got[9, 0][6] == ">>> print(1)\n1"
+    bare = link_quotes(df, keep_unlinked=False).where("conv_id = 2 and turn = 1 or conv_id = 9 and turn = 0").orderBy("conv_id").collect()
+    assert [r.text for r in bare] == ["hm", "1"]
     assert got[2, 2] == (2, 2, 0, None, None, 0, "")
-    assert got[None, 3][2:5] == (0, None, None)
+    assert got[None, 3][2:] == (0, None, None, 1, "> Hello there dear friends.\ny")
     import duckdb
 
     from heliograph.llm.quotes import SQL
