@@ -1,16 +1,19 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of their group, hash of their id).  A size-weighted
+Records are ordered by (hash of their group, hash of their id and place).  A size-weighted
 sample of those keys gives quantile boundaries; records are range-partitioned by
 them and every range is measured exactly.  A range that came out overfull is
-sampled again and subdivided.  Ranges are then dealt to shards, largest first to
+sampled again, more densely, and subdivided, until none is left; a record that is heavier
+than a range has one to itself.  Ranges are then dealt to shards, largest first to
 the emptiest shard, so shard sizes differ by about one light range.
 
 Equal groups (equal texts, say) stay in one shard: boundaries are moved to group
 edges.  A group too heavy for one range gets ranges of its own; only a group that
 exceeds a whole shard's fair share is spread over several shards, by id.
 
-The driver sees the sample, the boundaries and one row per range, all bounded by
+Rows are written once with their keys, so that rows alike in group and id (nulls, say)
+have different keys that stay the same when a task runs again; pass what is to be sharded,
+or ids and sizes only.  The driver sees the sample, the boundaries and one row per range, all bounded by
 parameters.  Records are shuffled once, by range, for their slot numbers.
 """
 
@@ -64,53 +67,62 @@ def _aligned(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def shard_by_size(
-    df: DataFrame, n_shards: int, size: Column, group: Column, row_id: Column, *, ranges_per_shard: int = 256, oversample: int = 8, max_rounds: int = 6
+    df: DataFrame, n_shards: int, size: Column, group: Column, row_id: Column, *, ranges_per_shard: int = 256, oversample: int = 8, max_rounds: int = 30
 ) -> DataFrame:
     """``df`` plus shard int (0..n_shards-1), slot long (gapless from 0 in a shard) and range_id int.
 
     ``size`` is a positive long (null counts 1), ``group`` what must stay together,
-    ``row_id`` what breaks ties.  Null groups form one group; repeated rows follow
-    each other; an empty table gives an empty result; input columns named like the
+    ``row_id`` what breaks ties.  Null groups form one group; repeated rows are rows
+    each; very long records have a range each; an empty table gives an empty result; input columns named like the
     outputs are replaced.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     spark = df.sparkSession
     base = without(df, "shard", "slot", "range_id")
-    tagged = base.withColumns({"__size": F.coalesce(size.cast("long"), F.lit(1)), "__k": F.xxhash64(group), "__r": F.xxhash64(row_id)})
-    keys = Scratch(spark, "shards").table(tagged.groupBy("__k", "__r").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")), "keys")
+    scratch = Scratch(spark, "shards")
+    tagged = base.withColumns({"__size": F.coalesce(size.cast("long"), F.lit(1)), "__k": F.xxhash64(group), "__r": F.xxhash64(row_id, F.monotonically_increasing_id())})
+    tagged = scratch.table(tagged, "rows")
+    keys = tagged.select("__k", "__r", F.col("__size").alias("bytes"))
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     if not total:
         return base.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long"), "range_id": F.lit(0)}).limit(0)
 
     n_ranges = n_shards * ranges_per_shard
 
-    def draw(rows: DataFrame, wanted: int, weight: int, seed: int) -> list[tuple[int, int]]:
-        """About ``wanted`` keys, each with a chance in proportion to its bytes."""
+    full = 2 * total / n_ranges
+
+    def draw(rows: DataFrame, wanted: int, weight: int, seed: int) -> list[tuple[int, int, int]]:
+        """About ``wanted`` keys with their bytes, each with a chance in proportion to those."""
         u = F.shiftrightunsigned(F.xxhash64("__k", "__r", F.lit(seed)), 11) / F.lit(float(1 << 53))
-        kept = rows.where(u < F.col("bytes") * F.lit(wanted / weight)).select("__k", "__r").collect()
-        return sorted((x[0], x[1]) for x in kept)
+        return sorted(map(tuple, rows.where(u < F.col("bytes") * F.lit(wanted / weight)).select("__k", "__r", "bytes").collect()))
+
+    def quantiles(drawn: list[tuple[int, int, int]], every: int) -> set[tuple[int, int]]:
+        """Every so many keys, and both edges of a record that overfills a range alone."""
+        heavy = {(k, x) for k, r, b in drawn if b > full for x in (r, r + 1) if x < 1 << 63}
+        return {(k, r) for k, r, _ in drawn[every - 1 :: every]} | heavy
 
-    def measured(bounds: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
-        rows = keys.groupBy(_range_of(bounds)("__k", "__r").alias("g")).agg(F.sum("bytes"), F.sum("n"), F.count("*")).collect()
+    def measured(bounds: list[tuple[int, int]]) -> dict[int, tuple[int, int, int]]:
+        """(bytes, rows, bytes of the heaviest record) by range."""
+        rows = keys.groupBy(_range_of(bounds)("__k", "__r").alias("g")).agg(F.sum("bytes"), F.count("*"), F.max("bytes")).collect()
         return {x[0]: (x[1], x[2], x[3]) for x in rows}
 
-    points = draw(keys, n_ranges * oversample, total, 1)[oversample - 1 :: oversample]
-    bounds = _aligned(points)
+    points = quantiles(draw(keys, n_ranges * oversample, total, 1), oversample)
+    bounds = _aligned(sorted(points))
     sizes = measured(bounds)
     for seed in range(2, max_rounds):
-        over = [g for g, (b, _, distinct) in sizes.items() if b > 2 * total / n_ranges and distinct > 1]
+        over = [g for g, (b, _, heaviest) in sizes.items() if b - heaviest > full]
         if not over:
             break
         weight = sum(sizes[g][0] for g in over)
-        wanted = max(oversample * 2 * len(over), int(weight / total * n_ranges * oversample))
+        wanted = max(oversample * 2 * len(over), int(weight / total * n_ranges * oversample)) * (1 + seed // 4)
         crowded = keys.withColumn("g", _range_of(bounds)("__k", "__r")).join(F.broadcast(spark.createDataFrame([(g,) for g in over], "g int")), "g", "left_semi")
-        fresh = draw(crowded, wanted, weight, seed)[oversample // 2 :: oversample // 2]
-        points = sorted({*points, *fresh})
-        finer = _aligned(points)
-        if finer == bounds:
-            break
-        bounds, sizes = finer, measured(finer)
+        drawn = draw(crowded, wanted, weight, seed)
+        points |= quantiles(drawn, max(1, min(oversample // 2, len(drawn) // (2 * len(over)))))
+        bounds = _aligned(sorted(points))
+        sizes = measured(bounds)
+    else:
+        raise RuntimeError(f"{len(over)} ranges are still overfull after {max_rounds} rounds")
 
     def lone(g: int) -> int | None:
         """The group that range g lies in, if the range is fenced off for it."""
@@ -159,7 +171,7 @@ def op2_sampled_splitters(spark, sf_dir):
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64("text").alias("text_key"),
+        F.xxhash64(text).alias("text_key"),  # a null text goes with the empty ones
     )
     slim = Scratch(spark, "op2").table(slim, "slim")
     out = shard_by_size(slim, 8, F.col("size"), F.col("text_key"), F.col("doc_id"))

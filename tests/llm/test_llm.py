@@ -123,6 +123,39 @@ def test_sharding_splits_a_group_that_no_shard_can_hold(spark):
     assert len(load) == 8 and max(load.values()) < 1.3 * min(load.values())
 
 
+def test_sharding_splits_rows_alike_in_group_and_id_and_sets_heavy_ones_apart(spark):
+    from heliograph.llm.sharding import shard_by_size
+
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("g"), F.lit(10).alias("n"))
+    rest = spark.range(3000).select("id", F.col("id").cast("string").alias("g"), F.when(F.col("id") < 3, 9000).otherwise(10).alias("n"))
+    out = shard_by_size(same.unionByName(rest), 8, F.col("n"), F.col("g"), F.col("id"), ranges_per_shard=16).collect()
+    load, slots, ranges = Counter(), defaultdict(list), Counter()
+    for r in out:
+        load[r.shard] += r.n
+        slots[r.shard].append(r.slot)
+        ranges[r.range_id] += r.n - (9000 if r.n == 9000 else 0)
+    assert len(out) == 6000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(ranges.values()) <= 2 * sum(load.values()) / 128 and max(load.values()) < 1.2 * min(load.values())
+
+
+def test_the_sharding_query_keeps_its_law(spark, tmp_path, rows):
+    from heliograph.llm.sharding import op2_sampled_splitters
+
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op2_sampled_splitters(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)} and {r.shard for r in out} <= set(range(8))
+    slots, of_text, load = defaultdict(list), defaultdict(set), Counter()
+    for r in out:
+        slots[r.shard].append(r.slot)
+        of_text[r.text_crc32, r["size"]].add(r.shard)
+        load[r.shard] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in of_text.values())
+    light = sorted(load.values())[:-1]  # one text of some 250 kB outweighs all else
+    assert max(light) - min(light) <= sorted(r["size"] for r in out)[-2]
+
+
 # -- op 3 -----------------------------------------------------------------------------
 
 
