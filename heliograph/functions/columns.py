@@ -126,6 +126,24 @@ def format_coordinates(lat, lon) -> Column:
     return F.format_string("%.5f° %s, %.5f° %s", F.abs(lat), side(lat, "N", "S"), F.abs(lon), side(lon, "E", "W"))
 
 
+def map_url(lat, lon) -> Column:
+    lat, lon = _c(lat).cast("string"), _c(lon).cast("string")
+    return F.concat(F.lit("https://www.openstreetmap.org/?mlat="), lat, F.lit("&mlon="), lon, F.lit("#map=15/"), lat, F.lit("/"), lon)
+
+
+def section_title(directory) -> Column:
+    """The last segment of a directory."""
+    return F.element_at(F.split(_c(directory), "/"), -1)
+
+
+def short_hash(sha) -> Column:
+    return F.left(_c(sha), F.lit(12))
+
+
+def type_label(ext) -> Column:
+    return F.upper(_c(ext))
+
+
 # -- dates -----------------------------------------------------------------------
 
 

@@ -75,3 +75,8 @@ def nested_root(roots: list[str], new: str) -> str | None:
         if r == clean or clean.startswith(f"{r}/") or r.startswith(f"{clean}/"):
             return r
     return None
+
+
+def layout_total(layout: DataFrame) -> DataFrame:
+    """(locations, total): how many places a layout has and how many photos in all."""
+    return layout.agg(F.count("*").alias("locations"), F.coalesce(F.sum("photos"), F.lit(0)).cast("long").alias("total"))

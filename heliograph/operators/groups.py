@@ -35,6 +35,14 @@ def exact_groups(photos: DataFrame) -> DataFrame:
     return members.join(keepers, "key").select(F.lit("exact").alias("kind"), "key", "keeper_photo_id", "photo_id", F.lit(100).alias("similarity_pct"))
 
 
+def _keys(threshold: int) -> Column:
+    """The values of column phash at every choice of up to three of the bytes that two hashes within ``threshold`` bits must share."""
+    Settings(hamming=threshold)
+    chosen = combinations(range(8), min(3, 8 - threshold))
+    value = lambda places: sum((F.shiftleft(band("phash", b), 8 * i) for i, b in enumerate(places)), F.lit(0))
+    return F.array(*(F.struct(F.lit(k).alias("which"), value(places).alias("value")) for k, places in enumerate(chosen)))
+
+
 def hamming_links(hashes: DataFrame, threshold: int) -> DataFrame:
     """(src, dst) of distinct hashes (column phash) within ``threshold`` bits, src > dst.
 
@@ -42,15 +50,7 @@ def hamming_links(hashes: DataFrame, threshold: int) -> DataFrame:
     some choice of that many bytes: an equality join on up to three bytes at once
     instead of one on single bytes, whose buckets hold 1/256 of all hashes each.
     """
-    Settings(hamming=threshold)
-    m = min(3, 8 - threshold)
-    keys = F.array(
-        *(
-            F.struct(F.lit(k).alias("which"), sum((F.shiftleft(band("phash", b), 8 * i) for i, b in enumerate(chosen)), F.lit(0)).alias("value"))
-            for k, chosen in enumerate(combinations(range(8), m))
-        )
-    )
-    lists = hashes.select("phash", F.explode(keys).alias("k")).select("phash", "k.which", "k.value")
+    lists = hashes.select("phash", F.explode(_keys(threshold)).alias("k")).select("phash", "k.which", "k.value")
     a, b = lists.alias("a"), lists.alias("b")
     near = (F.col("a.which") == F.col("b.which")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.phash") > F.col("b.phash"))
     met = a.join(b, near & (hamming("a.phash", "b.phash") <= threshold))
@@ -136,8 +136,8 @@ def sync_members(derived: DataFrame, stored: DataFrame, members: DataFrame, deci
 
 
 def band_neighbours(photos: DataFrame, seeds: DataFrame, threshold: int = 6) -> DataFrame:
-    """(seed_id, photo_id, distance): active photos near a seed by hash; equality on bands, verified in the join."""
-    keyed = lambda df, name: df.where(F.col("phash").isNotNull()).select(F.col("id").alias(name), F.col("phash").alias(f"{name}_hash"), F.explode(F.array(*(F.struct(F.lit(i).alias("b"), band("phash", i).alias("v")) for i in range(8)))).alias("k"))
+    """(seed_id, photo_id, distance): active photos near a seed by hash; equality on several bytes at once, verified in the join."""
+    keyed = lambda df, name: df.where(F.col("phash").isNotNull()).select(F.col("id").alias(name), F.col("phash").alias(f"{name}_hash"), F.explode(_keys(threshold)).alias("k"))
     s, p = keyed(seeds, "seed_id"), keyed(photos.where(is_active()), "photo_id")
     met = s.join(p, (s["k"] == p["k"]) & (F.col("seed_id") != F.col("photo_id")) & (hamming("seed_id_hash", "photo_id_hash") <= threshold))
     return met.select("seed_id", "photo_id", hamming("seed_id_hash", "photo_id_hash").alias("distance")).distinct()

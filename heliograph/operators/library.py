@@ -99,6 +99,12 @@ def page(photos: DataFrame, spec: ListSpec) -> DataFrame:
     return listed(photos, spec).orderBy(*order).select(cols).offset(spec.offset).limit(min(spec.limit, 1000))
 
 
+def show_all(photos: DataFrame, spec: ListSpec) -> DataFrame:
+    """Every row of a listing in its order, in place of paging through it; ``limit`` and ``offset`` have no part."""
+    cols = [c for c in LIST_COLUMNS if c in photos.columns]
+    return listed(photos, spec).orderBy(*SORTS.get(spec.sort, SORTS["captured_desc"])()).select(cols)
+
+
 def total(photos: DataFrame, spec: ListSpec) -> DataFrame:
     return listed(photos, spec).agg(F.count("*").alias("total"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,21 +32,46 @@ def top_folders(folders: Sequence[str]) -> list[str]:
     return sorted(f for f in own if not above(f) & own)
 
 
+def resolved(path: str) -> str:
+    """A path with its links followed as far as it exists."""
+    return os.path.realpath(path)
+
+
+def existing_file(path: str) -> str:
+    """The regular file that a path leads to."""
+    try:
+        real = os.path.realpath(path, strict=True)
+    except OSError as e:
+        raise ValidationFailed(f"{path} leads nowhere: {e}") from e
+    if not os.path.isfile(real):
+        raise ValidationFailed(f"{real} is not a regular file")
+    return real
+
+
+def ensure_within(path: str, allowed: Sequence[str], what: str = "the file") -> None:
+    """Refuse a resolved path that lies in none of the allowed folders, links followed."""
+    if not any(path == base or path.startswith(base.rstrip("/") + "/") for base in map(resolved, allowed)):
+        raise ValidationFailed(f"{what} is outside the approved folders: {path}")
+
+
 def checked_spec(spec: OrganizeSpec, roots: Sequence[str], quarantine: str) -> OrganizeSpec:
-    inside = lambda p, r: p == r.rstrip("/") or p.startswith(r.rstrip("/") + "/")
+    """The cleaned spec; refuses an unknown mode, no folder or root, folders outside the roots and a destination in the quarantine.
+
+    Paths are compared with their links followed; the destination need not exist.
+    """
     if spec.mode not in ORGANIZE_MODE:
         raise ValidationFailed(f"unknown mode {spec.mode}")
-    if not roots:
-        raise ValidationFailed("there is no scan root")
     folders = top_folders(spec.folders)
     if not folders:
         raise ValidationFailed("no folder is selected")
-    if inside(spec.destination.rstrip("/"), quarantine):
+    if not roots:
+        raise ValidationFailed("there is no scan root")
+    destination, off_limits = resolved(spec.destination), resolved(quarantine)
+    if destination == off_limits or destination.startswith(off_limits + "/"):
         raise ValidationFailed("the destination lies in the quarantine")
     for f in folders:
-        if not any(inside(f, r) for r in roots):
-            raise ValidationFailed(f"{f} is in no scan root")
-    return OrganizeSpec(tuple(folders), spec.destination.rstrip("/"), spec.mode, spec.rename, spec.skip_duplicates)
+        ensure_within(resolved(f), roots, f"folder {f}")
+    return OrganizeSpec(tuple(folders), destination, spec.mode, spec.rename, spec.skip_duplicates)
 
 
 def target_folder(spec: OrganizeSpec) -> Column:

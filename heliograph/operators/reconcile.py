@@ -41,13 +41,13 @@ def missing(classes: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def counters(classes: DataFrame, moves: DataFrame) -> DataFrame:
-    """The scan's counters in one row; a move is not an addition."""
+    """The scan's eight counters in one row, when it has ended; a move is not an addition."""
     n = lambda kind: F.count_if(F.col("class") == kind)
     base = classes.agg(
-        F.count_if(F.col("class") != "unseen").alias("files_found"), n("added").alias("added"), n("changed").alias("files_changed"), n("unchanged").alias("files_unchanged"), n("unreadable").alias("error_count"),
+        F.count_if(F.col("class") != "unseen").alias("files_found"), F.count_if(F.col("class") != "unseen").alias("files_processed"), n("added").alias("added"), n("changed").alias("files_changed"), n("unchanged").alias("files_unchanged"), n("unreadable").alias("error_count"),
     )
     moved, gone = moves.agg(F.count("*").alias("files_moved")), missing(classes, moves).agg(F.count("*").alias("files_missing"))
-    return base.crossJoin(moved).crossJoin(gone).select("files_found", (F.col("added") - F.col("files_moved")).alias("files_added"), "files_changed", "files_unchanged", "files_missing", "files_moved", "error_count")
+    return base.crossJoin(moved).crossJoin(gone).select("files_found", "files_processed", (F.col("added") - F.col("files_moved")).alias("files_added"), "files_changed", "files_unchanged", "files_missing", "files_moved", "error_count")
 
 
 def changed_anything(row) -> bool:
@@ -69,25 +69,37 @@ def apply_moves(photos: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.withColumns({k: v for k, v in new.items() if k in rows.columns}).drop("new_path").select(photos.columns)
 
 
+#: What a scan writes of a file, apart from its place in the library.
+WRITTEN = (
+    "size_bytes", "mtime_ns", "sha256", "width", "height", "captured_at", "camera_make", "camera_model", "latitude", "longitude",
+    "city", "region", "country", "place_distance_km", "exif", "phash", "last_error", "status",
+)
+
+
 def upsert(photos: DataFrame, processed: DataFrame) -> DataFrame:
-    """Scan results by path: known rows are overwritten and active again, unknown ones are added after the largest id.
+    """``photos`` after a scan: by path, all fields of known rows are overwritten and unknown rows are added after the largest id.
 
-    ``processed`` has path, root_id, size_bytes, mtime_ns, sha256; new rows are numbered by the hash of their path
-    in 4,096 buckets, so no task sorts them all.
+    ``processed`` has path, root_id and what was read of each usable file; a field that it
+    lacks becomes null, as the file no longer says it, and every row written is active.
+    A known row keeps its id and root.  New rows are numbered by the hash of their path in
+    4,096 buckets, so no task sorts them all.
     """
-    p = processed.select("path", *(F.col(c).alias(f"n_{c}") for c in ("root_id", "size_bytes", "mtime_ns", "sha256")))
-    both = photos.select("id", "path", "root_id", "size_bytes", "mtime_ns", "sha256", "status").join(p, "path", "full_outer")
-    pick = lambda c: F.when(F.col("n_size_bytes").isNotNull(), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
-    known = both.where("id is not null").select("id", "path", *(pick(c) for c in ("root_id", "size_bytes", "mtime_ns", "sha256")), F.when(F.col("n_size_bytes").isNotNull(), "active").otherwise(F.col("status")).alias("status"))
+    kinds = {f.name: f.dataType for f in photos.schema.fields}
+    fields = [c for c in WRITTEN if c in kinds]
+    value = lambda c: F.lit("active") if c == "status" else (F.col(c) if c in processed.columns else F.lit(None))
+    p = processed.select("path", F.lit(True).alias("__seen"), F.col("root_id").alias("n_root_id"), *(value(c).cast(kinds[c]).alias(f"n_{c}") for c in fields))
+    both = photos.join(p, "path", "full_outer")
+    known = both.where("id is not null").withColumns({c: F.when(F.col("__seen"), F.col(f"n_{c}")).otherwise(F.col(c)) for c in fields}).select(photos.columns)
     fresh = both.where("id is null").withColumn("__b", F.pmod(F.hash("path"), F.lit(4096)))
     sizes = fresh.groupBy("__b").agg(F.count("*").alias("__n"))
     before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
     top = photos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     rn = F.row_number().over(Window.partitionBy("__b").orderBy("path"))
-    added = fresh.withColumn("__rn", rn).join(F.broadcast(before), "__b").crossJoin(F.broadcast(top)).select(
-        (F.col("top") + F.col("__before") + F.col("__rn")).alias("id"), "path", *(F.col(f"n_{c}").alias(c) for c in ("root_id", "size_bytes", "mtime_ns", "sha256")), F.lit("active").alias("status")
-    )
-    return known.unionByName(added)
+    added = fresh.withColumn("__rn", rn).join(F.broadcast(before), "__b").crossJoin(F.broadcast(top))
+    new = {c: F.col(f"n_{c}") for c in (*fields, "root_id") if c in kinds} | {"id": (F.col("top") + F.col("__before") + F.col("__rn")).cast(kinds["id"])}
+    own = {"directory": dirname("path"), "filename": basename("path"), "ext": extension("path"), "mime": mime_of(extension("path"))}
+    added = added.withColumns(new | {k: v for k, v in own.items() if k in kinds})
+    return known.unionByName(added.select(photos.columns))
 
 
 def touched_ids(photos: DataFrame, ids: DataFrame, paths: DataFrame) -> DataFrame:

@@ -79,3 +79,10 @@ def report(rows: DataFrame, by: str, limit: int, label: str) -> DataFrame:
     from heliograph.functions.columns import collapse_space
 
     return rows.orderBy(F.desc(by), label).limit(limit).withColumn(label, collapse_space(label))
+
+
+def client_sums(photos: DataFrame, selected: DataFrame) -> DataFrame:
+    """(marked_bytes, selected_bytes): bytes of the marked active photos and of a selection (id)."""
+    chosen = photos.join(selected.select("id", F.lit(True).alias("__chosen")).distinct(), "id", "left")
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("size_bytes"))), F.lit(0)).cast("long")
+    return chosen.agg(total(is_active() & F.col("marked_for_deletion")).alias("marked_bytes"), total(F.col("__chosen")).alias("selected_bytes"))

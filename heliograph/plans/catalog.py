@@ -146,9 +146,8 @@ def _(spark, d):
     return G.derive_groups(P.hashed_photos(spark, d))
 
 
-@query("a20_bounded_rebuild", f"WITH RECURSIVE {SIMILAR} {ALL}")
-def _(spark, d):
-    """Groups of the library before an import, then only what the import touches; the outcome is that of a full rebuild."""
+def import_state(spark, d):
+    """(photos, touched, stored groups, members): the library after an import, with groups that are still those of before."""
     from heliograph.storage import Scratch
 
     scratch = Scratch(spark, "a20")
@@ -157,7 +156,13 @@ def _(spark, d):
     heads = before.groupBy("kind", "key").agg(F.max("keeper_photo_id").alias("keeper_photo_id"))
     stored = scratch.table(heads.select(F.xxhash64("kind", "key").alias("id"), "kind", "key", F.lit("pending").alias("status"), "keeper_photo_id"), "stored")
     members = before.join(stored.select("id", "kind", "key"), ["kind", "key"]).select(F.col("id").alias("group_id"), "photo_id", "similarity_pct")
-    return G.bounded_rebuild(p, p.where("id % 50 = 7").select("id"), stored, members)
+    return p, p.where("id % 50 = 7").select("id"), stored, scratch.table(members, "members")
+
+
+@query("a20_bounded_rebuild", f"WITH RECURSIVE {SIMILAR} {ALL}")
+def _(spark, d):
+    """Only what an import touches is derived again; the outcome is that of a full rebuild."""
+    return G.bounded_rebuild(*import_state(spark, d))
 
 
 @query(
@@ -463,6 +468,18 @@ def _(spark, d):
     return review.dismiss(g, g.where("group_id % 3 = 0").select(F.col("group_id").alias("id"))).select("group_id", "status")
 
 
+@query("d07_reopen", f"WITH {GR} SELECT group_id, CASE WHEN group_id % 3 = 1 THEN 'pending' ELSE status END AS status FROM groups")
+def _(spark, d):
+    m, g = P.members_and_groups(spark, d)
+    return review.reopen(g, P.decisions(m), g.where("group_id % 3 = 1").select(F.col("group_id").alias("id")))[0].select("group_id", "status")
+
+
+@query("d07_reopen_decisions", f"WITH {GR}, {P.DECISIONS} SELECT group_id, photo_id, decision FROM decisions WHERE group_id % 3 <> 1")
+def _(spark, d):
+    m, g = P.members_and_groups(spark, d)
+    return review.reopen(g, P.decisions(m), g.where("group_id % 3 = 1").select(F.col("group_id").alias("id")))[1]
+
+
 @query(
     "r01_review_queue",
     f"WITH {GR}, {P.DECISIONS} SELECT group_id, keeper_photo_id AS keeper_id, photo_id, row_number() OVER (PARTITION BY group_id ORDER BY photo_id)::INT AS position FROM members m JOIN groups g USING (group_id) WHERE g.status = 'pending' AND photo_id <> keeper_photo_id AND NOT EXISTS (SELECT 1 FROM decisions o WHERE o.group_id = m.group_id AND o.photo_id = m.photo_id)",
@@ -525,20 +542,86 @@ def _(spark, d):
     return R.apply_moves(index, moves).select("id", "path", "status")
 
 
+UPSERT = "size_bytes, mtime_ns, sha256, width, height, strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, camera_make, camera_model, latitude, longitude, city, region, country, place_distance_km, exif, phash, last_error, status"
+BOTH = ", ".join(f"CASE WHEN s.path IS NULL THEN i.{c} ELSE s.{c} END AS {c}" for c in R.WRITTEN)
+
+
 @query(
     "d02_upsert",
-    f"WITH {PH}, {P.INDEX}, seen AS (SELECT * FROM disk WHERE error IS NULL) SELECT path, coalesce(s.size_bytes, i.size_bytes) AS size_bytes, coalesce(s.mtime_ns, i.mtime_ns) AS mtime_ns, CASE WHEN s.size_bytes IS NULL THEN status ELSE 'active' END AS status, i.id IS NULL AS is_new FROM idx i FULL JOIN seen s USING (path)",
+    f"WITH {PH}, i AS (SELECT *, 'old' AS camera_make, id AS phash, 'was bad' AS last_error FROM photos WHERE id % 10 <> 9), s AS (SELECT path, size_bytes + 1 AS size_bytes, mtime_ns + 1 AS mtime_ns, reverse(sha256) AS sha256, height AS width, CASE WHEN id % 3 > 0 THEN width END AS height, captured_at, "
+    "'new' AS camera_make, country AS camera_model, longitude / 2 AS latitude, latitude AS longitude, region AS city, city AS region, 'XX' AS country, CAST(id % 7 AS FLOAT) AS place_distance_km, '{}' AS exif, -id AS phash, CASE WHEN id % 5 = 0 THEN 'broken' END AS last_error, 'active' AS status, root_id FROM photos WHERE id % 10 <> 1), "
+    f"merged AS (SELECT coalesce(i.path, s.path) AS path, i.id IS NULL AS is_new, coalesce(i.root_id, s.root_id) AS root_id, {BOTH} FROM i FULL JOIN s ON i.path = s.path) "
+    f"SELECT path, regexp_extract(path, '[^/]*$') AS filename, is_new, root_id, {UPSERT} FROM merged",
 )
 def _(spark, d):
-    index, disk = P.index_and_disk(spark, d)
+    p, i = P.photos(spark, d), F.col("id")
+    index = p.where("id % 10 <> 9").withColumns({"camera_make": F.lit("old"), "phash": i, "last_error": F.lit("was bad")})
+    read = p.where("id % 10 <> 1").select(
+        "path", "root_id", (F.col("size_bytes") + 1).alias("size_bytes"), (F.col("mtime_ns") + 1).alias("mtime_ns"), F.reverse("sha256").alias("sha256"), F.col("height").alias("width"),
+        F.when(i % 3 > 0, F.col("width")).alias("height"), "captured_at", F.lit("new").alias("camera_make"), F.col("country").alias("camera_model"), (F.col("longitude") / 2).alias("latitude"), F.col("latitude").alias("longitude"),
+        F.col("region").alias("city"), F.col("city").alias("region"), F.lit("XX").alias("country"), (i % 7).cast("float").alias("place_distance_km"), F.lit("{}").alias("exif"), (-i).alias("phash"), F.when(i % 5 == 0, "broken").alias("last_error"),
+    )
     top = index.agg(F.max("id").alias("top"))
-    out = R.upsert(index, disk.where("error is null").withColumn("root_id", F.lit(1)))
-    return out.crossJoin(F.broadcast(top)).select("path", "size_bytes", "mtime_ns", "status", (F.col("id") > F.col("top")).alias("is_new"))
+    out = R.upsert(index, read).crossJoin(F.broadcast(top))
+    return shown(out.select("path", "filename", (i > F.col("top")).alias("is_new"), "root_id", *R.WRITTEN))
+
+
+@query("d20_scan_errors", f"WITH {PH}, {P.INDEX} SELECT 7::BIGINT AS scan_id, path, error FROM disk WHERE error IS NOT NULL")
+def _(spark, d):
+    return R.split_errors(P.index_and_disk(spark, d)[1], 7)[1]
+
+
+@query("d20_usable", f"WITH {PH}, {P.INDEX} SELECT path, error IS NOT NULL AS undecoded FROM disk WHERE sha256 IS NOT NULL")
+def _(spark, d):
+    return R.split_errors(P.index_and_disk(spark, d)[1], 7)[0].select("path", F.col("error").isNotNull().alias("undecoded"))
+
+
+@query(
+    "f13_changed_anything",
+    f"WITH {PH}, {P.INDEX}, {GONE} SELECT count_if(class = 'added') > (SELECT count(*) FROM moves) OR count_if(class = 'changed') > 0 OR (SELECT count(*) FROM gone) > 0 OR (SELECT count(*) FROM moves) > 0 AS anything FROM classes",
+)
+def _(spark, d):
+    _, _, classes, moves = _scan(spark, d)
+    return spark.createDataFrame([(R.changed_anything(R.counters(classes, moves).first()),)], "anything boolean")
+
+
+@query("c06_job_times", f"WITH {P.SCANS} SELECT id, CASE id WHEN 50 THEN 'running' WHEN 100 THEN 'failed' ELSE status END AS status, id = 50 AS started, id = 100 AS ended FROM scans")
+def _(spark, d):
+    scans = P.scans(spark, d).withColumns({"started_at": F.lit(None).cast("timestamp"), "finished_at": F.lit(None).cast("timestamp")})
+    out = jobs.finished(jobs.started(scans, 50), 100, "failed")
+    return out.select("id", "status", F.col("started_at").isNotNull().alias("started"), F.col("finished_at").isNotNull().alias("ended"))
+
+
+@query("d16_audit_append", f"WITH {P.OPERATIONS} SELECT op, count(*) AS n, max(id) AS last FROM operations WHERE id % 4 > 0 GROUP BY op")
+def _(spark, d):
+    """Operations appended in three goes and read back."""
+    from heliograph.storage import Scratch
+
+    ops, log = P.operations(spark, d), f"{Scratch(spark, 'd16').base}/operations"
+    for k in (1, 2, 3):
+        audit.append(ops.where(F.col("id") % 4 == k), log)
+    return spark.read.parquet(log).groupBy("op").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
+@query("t14_show_all", f"WITH {PH} SELECT id, size_bytes FROM photos WHERE status = 'active'")
+def _(spark, d):
+    return L.show_all(P.photos(spark, d), L.ListSpec(sort="size_desc", limit=5)).select("id", "size_bytes")
+
+
+@query("a27_layout_total", f"{LAYOUT} SELECT count(*) AS locations, sum(photos)::BIGINT AS total FROM layout")
+def _(spark, d):
+    return folders.layout_total(folders.library_layout(_dated(spark, d)))
+
+
+@query("a27_client_sums", f"WITH {PH} SELECT coalesce(sum(size_bytes) FILTER (status = 'active' AND marked_for_deletion), 0)::BIGINT AS marked_bytes, coalesce(sum(size_bytes) FILTER (id % 6 = 1), 0)::BIGINT AS selected_bytes FROM photos")
+def _(spark, d):
+    p = P.photos(spark, d)
+    return stats.client_sums(p, p.where("id % 6 = 1").select("id"))
 
 
 @query(
     "a26_scan_counters",
-    f"WITH {PH}, {P.INDEX}, {GONE} SELECT count_if(class <> 'unseen')::BIGINT AS files_found, (count_if(class = 'added') - (SELECT count(*) FROM moves))::BIGINT AS files_added, count_if(class = 'changed')::BIGINT AS files_changed, count_if(class = 'unchanged')::BIGINT AS files_unchanged, "
+    f"WITH {PH}, {P.INDEX}, {GONE} SELECT count_if(class <> 'unseen')::BIGINT AS files_found, count_if(class <> 'unseen')::BIGINT AS files_processed, (count_if(class = 'added') - (SELECT count(*) FROM moves))::BIGINT AS files_added, count_if(class = 'changed')::BIGINT AS files_changed, count_if(class = 'unchanged')::BIGINT AS files_unchanged, "
     "(SELECT count(*) FROM gone) AS files_missing, (SELECT count(*) FROM moves) AS files_moved, count_if(class = 'unreadable')::BIGINT AS error_count FROM classes",
 )
 def _(spark, d):
@@ -627,7 +710,7 @@ def _(spark, d):
     return geo.nearest_place(P.points(spark, d), P.places(spark, d), 1000.0).drop("latitude", "longitude")
 
 
-@query("a24_backfill_page", f"WITH {PH}, todo AS (SELECT * FROM photos WHERE status = 'active' AND (latitude IS NULL OR city IS NULL)), page AS (SELECT * FROM todo WHERE id > 50 ORDER BY id LIMIT 60) SELECT count(*) AS processed, count_if(latitude IS NOT NULL OR id % 3 = 0)::BIGINT AS updated, max(id) AS next_after_id, (SELECT count(*) FROM todo WHERE id > (SELECT max(id) FROM page)) AS remaining FROM page")
+@query("a24_backfill_page", f"WITH {PH}, todo AS (SELECT * FROM photos WHERE status = 'active' AND (latitude IS NULL OR city IS NULL)), page AS (SELECT * FROM todo WHERE id > 50 ORDER BY id LIMIT 60) SELECT count(*) AS processed, count_if(latitude IS NOT NULL OR id % 3 = 0)::BIGINT AS updated, CASE WHEN count(*) = 60 THEN max(id) END AS next_after_id, CASE WHEN count(*) = 60 THEN (SELECT count(*) FROM todo WHERE id > (SELECT max(id) FROM page)) ELSE 0 END AS remaining FROM page")
 def _(spark, d):
     p = P.photos(spark, d)
     found = p.where("id % 3 = 0").select("id", F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))

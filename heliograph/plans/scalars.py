@@ -171,3 +171,27 @@ def _(spark, d):
 @query("w10_progress", "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE least(100, floor((doc_id % 50) * 100.0::DOUBLE / (doc_id % 7) + 0.5)) END::INT AS pct FROM documents")
 def _(spark, d):
     return P.read(spark, d, "documents").select(F.col("doc_id").alias("id"), C.progress_pct(F.col("doc_id") % 50, F.col("doc_id") % 7).alias("pct"))
+
+
+@query("c02_captured", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN '2021-05-06 07:08:09' WHEN doc_id % 3 = 0 THEN '2019-01-02 03:04:05' END AS at FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    original = F.when(i % 2 == 0, F.lit("2021:05:06 07:08:09")).when(i % 5 == 0, F.lit("not a time"))
+    fallback = F.when(i % 3 == 0, F.lit("2019:01:02 03:04:05"))
+    return P.read(spark, d, "documents").select(i.alias("id"), F.date_format(C.captured(original, fallback), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("x14_map_url", "SELECT doc_id AS id, 'https://www.openstreetmap.org/?mlat=' || a || '&mlon=' || b || '#map=15/' || a || '/' || b AS url FROM (SELECT doc_id, (doc_id % 90) || '.5' AS a, (-(doc_id % 170) - 1) || '.25' AS b FROM documents)")
+def _(spark, d):
+    i = F.col("doc_id")
+    return P.read(spark, d, "documents").select(i.alias("id"), C.map_url((i % 90).cast("double") + 0.5, -(i % 170).cast("double") - 1.25).alias("url"))
+
+
+@query("x16_section_title", f"WITH {P.PHOTOS} SELECT id, string_split(directory, '/')[-1] AS title FROM photos")
+def _(spark, d):
+    return P.photos(spark, d).select("id", C.section_title("directory").alias("title"))
+
+
+@query("x19_labels", f"WITH {P.PHOTOS} SELECT id, left(sha256, 12) AS sha, upper(ext) AS type FROM photos")
+def _(spark, d):
+    return P.photos(spark, d).select("id", C.short_hash("sha256").alias("sha"), C.type_label("ext").alias("type"))

@@ -227,3 +227,40 @@ def test_roots_and_jobs(spark):
     scans = spark.createDataFrame([(1, "running"), (2, "completed")], "id int, status string")
     assert jobs.is_running(scans) and not jobs.is_running(R.recover_interrupted(scans))
     assert [jobs.valid_destination(x) for x in ("a/b", "a//b", ".a", "a: b", "a /b")] == [True, False, False, False, False]
+
+
+def test_organize_specs_are_checked_on_resolved_paths(tmp_path):
+    root, other, quarantine = tmp_path / "root", tmp_path / "other", tmp_path / "quarantine"
+    for p in (root / "a", other, quarantine):
+        p.mkdir(parents=True)
+    (root / "link").symlink_to(other)
+    (root / "file").write_text("x")
+    spec = lambda folders=(f"{root}/a/", f"{root}/a"), to=f"{tmp_path}/out", mode="date": O.checked_spec(O.OrganizeSpec(tuple(folders), to, mode), [str(root)], str(quarantine))
+    assert spec().folders == (f"{root}/a",) and spec().destination == f"{tmp_path}/out"
+    assert spec(to=str(other)).destination == str(other)  # outside the roots is allowed
+    for bad in (dict(mode="size"), dict(folders=()), dict(folders=[str(other)]), dict(folders=[f"{root}/link"]), dict(folders=[f"{root}/../other"]), dict(to=f"{quarantine}/x"), dict(to=f"{other}/../quarantine")):
+        with pytest.raises(ValidationFailed):
+            spec(**bad)
+    with pytest.raises(ValidationFailed):
+        O.checked_spec(O.OrganizeSpec((str(root),), "/out"), [], str(quarantine))
+    assert O.existing_file(f"{root}/a/../file") == f"{root}/file"
+    for bad in (f"{root}/none", f"{root}/a"):
+        with pytest.raises(ValidationFailed):
+            O.existing_file(bad)
+    O.ensure_within(f"{root}/a", [str(root)])
+    with pytest.raises(ValidationFailed):
+        O.ensure_within(f"{root}2/a", [str(root)])
+
+
+def test_bounded_neighbours_meet_on_several_bytes(spark):
+    import random
+
+    rng = random.Random(11)
+    hashes = [rng.getrandbits(64) for _ in range(60)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), n)) for h in hashes[:30] for n in (5, 6, 7)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    p = spark.createDataFrame([(i, h, "active") for i, h in enumerate(signed)], "id long, phash long, status string")
+    near = lambda a, b: ((signed[a] ^ signed[b]) & (1 << 64) - 1).bit_count()
+    got = {(r.seed_id, r.photo_id, r.distance) for r in G.band_neighbours(p, p.where("id % 3 = 0")).collect()}
+    n = range(len(signed))
+    assert got == {(a, b, near(a, b)) for a in n if a % 3 == 0 for b in n if a != b and near(a, b) <= 6}
