@@ -309,8 +309,10 @@ def _(spark, d):
     f"WITH {P.HASHED}, probe AS (SELECT phash FROM hashed WHERE id = 10) SELECT id, bit_count(xor(hashed.phash, probe.phash))::INT AS distance FROM hashed, probe WHERE status = 'active' AND id <> 10 AND bit_count(xor(hashed.phash, probe.phash)) <= 6 ORDER BY distance, id LIMIT 12",
 )
 def _(spark, d):
-    p = P.hashed_photos(spark, d)
-    probe = P.hashes(spark, d).where("id = 10").first()
+    from heliograph.storage import Scratch
+
+    p = Scratch(spark, "j15").table(P.hashed_photos(spark, d), "photos")
+    probe = p.where("id = 10").first()
     return L.similar_to(p, 10, probe["phash"]).select("id", F.col("distance").cast("int").alias("distance"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,17 +69,18 @@ FROM (SELECT *, ['jpg', 'jpeg', 'png', 'heic', 'tif'][doc_id % 5 + 1] AS ext FRO
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     """(id, phash): a 64-bit SimHash of a text's distinct lower-cased tokens, standing in for a picture's hash."""
-    tokens = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("t"))
+    docs, cores = read(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one small file: let all cores hash its tokens
+        docs = docs.repartition(cores, "doc_id")
+    tokens = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("t"))
     h = tokens.select("id", F.expr("cast(conv(substr(md5(t), 1, 16), 16, -10) as bigint)").alias("h"))
     # three counters of 21 bits share a long, so that the aggregate's code stays small enough to compile
     one = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1)) if i < 64 else F.lit(0).cast("long")
     packed = [one(i) + F.shiftleft(one(i + 1), 21) + F.shiftleft(one(i + 2), 42) for i in range(0, 64, 3)]
-    sums = h.groupBy("id").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(packed)))
-    count = lambda i: F.shiftrightunsigned(f"s{i // 3}", 21 * (i % 3)).bitwiseAND(F.lit((1 << 21) - 1))
-    bits = [F.when(count(i) * 2 > F.col("n"), F.lit((1 << i) - ((1 << 64) if i == 63 else 0))).otherwise(F.lit(0)).cast("long") for i in range(64)]
-    while len(bits) > 1:
-        bits = [reduce(lambda a, b: a.bitwiseOR(b), bits[k : k + 4]) for k in range(0, len(bits), 4)]
-    return sums.select("id", bits[0].alias("phash"))
+    sums = h.groupBy("id").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"s{3 * i}") for i, x in enumerate(packed)))
+    held = sums.select("id", "n", F.array(*(f"s{i}" for i in range(0, 64, 3))).alias("s"))
+    bit = "if((shiftrightunsigned(s[cast(i div 3 as int)], 21 * (i % 3)) & 2097151L) * 2 > n, shiftleft(1L, i), 0L)"
+    return held.select("id", F.expr(f"aggregate(sequence(0, 63), 0L, (a, i) -> a | {bit})").alias("phash"))
 
 
 _BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {i}) & 1) > count(*) THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(64))
