@@ -97,13 +97,16 @@ def classified(photos: DataFrame, spec: OrganizeSpec, groups: DataFrame, members
     return rows.withColumn("class", kind).withColumn("undated", (F.col("class") != "duplicate") & F.col("captured_at").isNull() & F.lit(spec.mode == "date"))
 
 
-def family(path: Column) -> Column:
-    """What all names that suffixing could ever bring together have in common."""
-    return F.regexp_replace(path, r"(_[0-9]{2,})+(\.[^./]*)?$", "$2")
+def stems(path: Column) -> Column:
+    """The names that a name can come from by suffixing once or more, and itself, shortest first."""
+    form = r"((?:_(?:0[1-9]|[1-9][0-9]+))+)(\.[^./]*)?$"
+    tail, end = F.regexp_extract(path, form, 1), F.regexp_extract(path, form, 2)
+    head, parts = F.substr(path, F.lit(1), F.length(path) - F.length(tail) - F.length(end)), F.split(tail, "_")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(head, F.array_join(F.slice(parts, F.lit(1), i), "_"), end))
 
 
 def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy names for one family, in path order; rows with dest set are taken already."""
+    """Greedy names for one family, in path order; rows without an id are taken already."""
     held = set(pdf.loc[pdf["id"].isna(), "candidate"])
     own = pdf[pdf["id"].notna()].sort_values("path")
     names = []
@@ -122,16 +125,21 @@ def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
 def planned_moves(rows: DataFrame, photos: DataFrame, spec: OrganizeSpec) -> DataFrame:
     """(id, src, dest, size_bytes): destinations that collide with nothing, planned or present, whatever its status.
 
-    Only names of one family can collide, so families, not folders, are the groups;
-    families of one photo without a taken name need no group at all.
+    A suffixed name can only meet one that was asked for or taken and comes from an asked
+    name by suffixing, so a family is what has the same shortest asked stem: ``IMG.jpg`` and
+    ``IMG_01.jpg``, but not all ``IMG_0001.jpg`` of a folder.  Families of one photo without
+    a taken name need no group at all.
     """
-    moves = rows.where("class = 'move'").select("id", F.col("path").alias("src"), "candidate", "size_bytes", family(F.col("candidate")).alias("family"))
-    taken = photos.where(under(spec.destination)).select("path", family(F.col("path")).alias("family"))
-    busy = moves.select("family").unionByName(taken.join(moves.select("family").distinct(), "family", "left_semi").select("family")).groupBy("family").count().where("count > 1").select("family")
-    calm = moves.join(busy, "family", "left_anti").select("id", F.col("candidate").alias("dest"))
-    asked = moves.join(busy, "family", "left_semi").select("family", "id", F.col("src").alias("path"), "candidate")
-    held = taken.join(busy, "family", "left_semi").select("family", F.lit(None).cast("long").alias("id"), "path", F.col("path").alias("candidate"))
-    crowded = asked.unionByName(held).groupBy("family").applyInPandas(_numbered, "id long, dest string")
+    moves = rows.where("class = 'move'").select("id", F.col("path").alias("src"), "candidate", "size_bytes")
+    asked, taken = moves.select(F.col("candidate").alias("name")).distinct(), photos.where(under(spec.destination)).select(F.col("path").alias("name")).distinct()
+    reach = asked.union(taken).distinct().select("name", F.explode(stems(F.col("name"))).alias("stem"))
+    roots = reach.join(asked.withColumnRenamed("name", "stem"), "stem").groupBy("name").agg(F.min(F.struct(F.length("stem"), "stem"))["stem"].alias("family"))
+    asked = moves.select("id", F.col("src").alias("path"), "candidate").join(roots.withColumnRenamed("name", "candidate"), "candidate")
+    held = taken.join(roots, "name").select(F.lit(None).cast("long").alias("id"), F.col("name").alias("path"), F.col("name").alias("candidate"), "family")
+    every = asked.select(held.columns).union(held)
+    busy = every.groupBy("family").count().where("count > 1").select("family")
+    calm = asked.join(busy, "family", "left_anti").select("id", F.col("candidate").alias("dest"))
+    crowded = every.join(busy, "family", "left_semi").groupBy("family").applyInPandas(_numbered, "id long, dest string")
     return calm.unionByName(crowded).join(moves.select("id", "src", "size_bytes"), "id").select("id", "src", "dest", "size_bytes")
 
 

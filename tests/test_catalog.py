@@ -178,6 +178,31 @@ def test_organize_plans(spark):
         O.checked_spec(O.OrganizeSpec(("/x",), "/lib/out"), ["/lib"], "/q")
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffixes_equal_one_pass_over_all_names(spark, seed):
+    rng = random.Random(seed)
+    names = [stem + "".join(f"_{rng.choice(['01', '02', '03', '10', '0001', '1'])}" for _ in range(rng.randint(0, 2))) + end for stem in ("a", ".a", "b.c", "IMG") for end in ("", ".jpg", ".x_01") for _ in range(6)]
+    rows = [(i, f"/lib/in/{i % 7}/{i}/{n}", None, "active", str(i)) for i, n in enumerate(names)]
+    taken = [(1000 + i, f"/lib/out/Undated/{n}", None, rng.choice(["active", "missing", "quarantined"]), str(1000 + i)) for i, n in enumerate(sorted(set(rng.sample(names, 20))))]
+    got, _ = plan_of(spark, rows, O.OrganizeSpec(("/lib/in",), "/lib/out"), taken)
+    held, want = {r[1] for r in taken}, {}
+    for i, path, *_ in sorted(rows, key=lambda r: r[1]):
+        base, n = path.rsplit("/", 1)[1], 0
+        dot = base.rfind(".") if base.rfind(".") > 0 else len(base)
+        free = f"/lib/out/Undated/{base}"
+        while free in held:
+            n += 1
+            free = f"/lib/out/Undated/{base[:dot]}_{n:02d}{base[dot:]}"
+        held.add(free)
+        want[i] = free
+    assert got == want
+
+
+def test_numbered_names_of_a_camera_are_no_family(spark):
+    found = spark.createDataFrame([("/d/IMG_0001.jpg",), ("/d/IMG_01_02.jpg",), ("/d/x",)], "p string").select(O.stems(F.col("p")).alias("s"))
+    assert [r.s for r in found.collect()] == [["/d/IMG_0001.jpg"], ["/d/IMG.jpg", "/d/IMG_01.jpg", "/d/IMG_01_02.jpg"], ["/d/x"]]
+
+
 def test_rescan(spark):
     index = spark.createDataFrame([(1, 1, "/a/x.jpg", 5, 1, "active", "s1"), (2, 1, "/a/y.jpg", 5, 1, "active", "s2"), (3, 1, "/a/z.jpg", 5, 1, "missing", "s3")], "id long, root_id int, path string, size_bytes long, mtime_ns long, status string, sha256 string")
     disk = spark.createDataFrame([("/b/x.jpg", 5, 1, "s1", None), ("/a/z.jpg", 5, 1, "s3", None), ("/a/bad.jpg", None, None, None, "denied")], "path string, size_bytes long, mtime_ns long, sha256 string, error string")
