@@ -822,6 +822,57 @@ def test_pipeline(spark, data):
     assert packed.count() > 0 and "ids" in packed.columns
 
 
+@pytest.fixture(scope="module")
+def odd_folder(spark, data, tmp_path_factory):
+    """The tables, ``documents`` with nulls in every column, empty, wordless, repeated and very long texts."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    first = docs.orderBy("doc_id").first()
+    long = " ".join(r.text for r in docs.where("lang = 'en' AND text IS NOT NULL").orderBy("doc_id").collect())
+    odd = [(10**6, None, "en", "s", None), (10**6 + 1, "", "en", None, 0), (10**6 + 2, " \n\t ", None, "s", 4), (10**6 + 3, "12 %%", "en", "s", 5)]
+    odd += [(10**6 + 4, long, None, None, None), (None, first.text, None, None, None), (None, None, None, None, None), tuple(first), (10**6 + 5, "", "en", "s", 0)]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_stages_on_odd_rows_and_none(spark, odd_folder):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), odd_folder).count() == 0, name
+        out = stage(spark, docs, odd_folder)
+        if name == "packing":
+            assert out.count() >= docs.count()
+            continue
+        assert out.columns == docs.columns, name
+        ids = Counter(r.doc_id for r in out.select("doc_id").collect())
+        if name == "language_id":  # a text without a letter goes
+            assert not {10**6 + k for k in (0, 1, 2, 3, 5)} & set(ids) and 10**6 + 4 in ids and ids[None] == 1
+        if name == "line_dedup":
+            assert ids == Counter(r.doc_id for r in docs.select("doc_id").collect())
+        if name == "near_dedup":  # texts without a word are copies; rows without an id stay
+            assert {k for k in range(6) if 10**6 + k in ids} == {0, 3, 4} and ids[None] == 2 and max(n for i, n in ids.items() if i is not None) == 1
+        if name == "decontaminate":
+            assert {10**6 + k for k in (0, 1, 2, 3, 5)} <= set(ids)
+    assert corpus_pipeline.run(spark, odd_folder).count() > 0
+
+
+def test_the_language_query_on_odd_rows(spark, odd_folder):
+    from heliograph.llm.registry import QUERIES
+
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet").collect()
+    got = QUERIES["op8_kneser_ney"](spark, odd_folder).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs)
+    learned = {r.lang for r in docs} - {None}
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.lang_pred in learned | {"und"} for i, r in by_id.items())
+    assert {i for i, r in by_id.items() if r.lang_pred == "und"} == {10**6 + k for k in (0, 1, 2, 3, 5)}
+    kept_aside = [(r.lang, by_id[r.doc_id].lang_pred) for r in docs if r.lang and r.doc_id is not None and r.doc_id < 10**6 and by_id[r.doc_id].held_out]
+    assert sum(a == b for a, b in kept_aside) >= 0.95 * len(kept_aside)
+
+
 def test_queries_and_sql_agree(spark, data, duck):
     from heliograph.llm import registry
 
