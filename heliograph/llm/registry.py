@@ -16,6 +16,7 @@ from heliograph.llm.quotes import op1_quotation_links
 from heliograph.llm.sharding import op2_sampled_splitters
 from heliograph.llm.simhash import op6_byte_position_simhash
 from heliograph.llm.token_counts import op10_pretoken_counts
+from heliograph.llm.toxicity import op13_compression_toxicity
 from heliograph.llm.vector_codes import SQL as CODE_SQL
 from heliograph.llm.vector_codes import op11_exponion_codes
 from heliograph.llm.warc import SQL as WARC_SQL
@@ -36,6 +37,7 @@ QUERIES = {
         op10_pretoken_counts,
         op11_exponion_codes,
         op12_merkle_manifest,
+        op13_compression_toxicity,
     )
 }
 SQL: dict[str, str] = {
