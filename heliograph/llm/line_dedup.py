@@ -46,12 +46,17 @@ def tokens_of(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\t\x0B\f\r]"), masked).otherwise(plain)
 
 
+def digest(text: Column) -> Column:
+    """What a text is known by: 128 bits, so that no two texts are taken for one."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def dropped_lines(
     docs: DataFrame, *, min_docs: int = 20, depth: int = 3, min_tokens: int = 3, similarity: float = 0.8, long_tokens: int = 50, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(h, drops): by text hash, the numbers (from 0) of the lines to drop."""
+    """(h, drops): by a text's digest, the numbers (from 0) of the lines to drop."""
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), digest(F.col(text)).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
     lines = rows.withColumn("t", tokens_of(F.col("line"))).where(F.size("t") >= min_tokens)
     lines = lines.withColumn("node", F.xxhash64(F.size("t"), F.slice("t", 1, depth)))
     words = F.xxhash64(F.lit("words"), F.array_remove(F.split("line", GAPS), ""))
@@ -98,7 +103,7 @@ def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """
     base = without(docs, "n_lines", "n_dropped", "__h", "__drops")
     drops = dropped_lines(base, text=text, doc_id=doc_id, **options).select(F.col("h").alias("__hd"), F.col("drops").alias("__drops"))
-    keyed = base.withColumn("__h", F.xxhash64(text))
+    keyed = base.withColumn("__h", digest(F.col(text)))
     joined = join_checked(keyed, drops, F.col("__h") == F.col("__hd"), "left")
     lines = F.split(text, "\n", -1)
     n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0))

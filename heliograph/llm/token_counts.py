@@ -144,7 +144,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ou
     """
     spark = docs.sparkSession
     base = without(docs, out)
-    base = base.select(*[c for c in base.columns if c != text], F.col(text).cast("string").alias(text))
+    alone = base.columns == [text]  # rows of the text only need something to be known by
+    base = base.select(*[F.col(f"`{c}`") for c in base.columns if c != text], *([F.lit(0).alias("__own")] if alone else []), F.col(text).cast("string").alias(text))
     rules = spark.sparkContext.broadcast(rules_from(tokenizer_path))
     scratch = Scratch(spark, "pieces")
     pieces = scratch.table(piece_counts(base, rules, text), "pieces").withColumn("level", F.floor(F.log2("spread")).cast("int"))
@@ -161,13 +162,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, text: str = "text", ou
     table = spark.sparkContext.broadcast((keys[order], checks[order], n[order]))
     rest = base.drop(text)
     if held <= max_broadcast:
-        return base.mapInArrow(tidy(_summed(rules, table, text, out)), extended(rest, T.StructField(out, T.LongType())))
+        return base.mapInArrow(tidy(_summed(rules, table, text, out)), extended(rest, T.StructField(out, T.LongType()))).drop("__own")
     longs = [T.StructField(x, T.LongType()) for x in ("part", "h", "g", "f")]
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("own", rest.schema), *longs])
     rows = scratch.table(base.mapInArrow(tidy(_parted(rules, table, text)), schema), "rows")
     tail = rows.where("f is not null").join(pieces.where(F.col("level") < least).select("h", "g", "n"), ["h", "g"]).groupBy("row").agg(F.sum(F.col("n") * F.col("f")).alias("more"))
     summed = rows.where("f is null").select("row", "own", "part").join(tail, "row", "left")
-    return summed.select("own.*", (F.col("part") + F.coalesce("more", F.lit(0))).cast("long").alias(out))
+    return summed.select("own.*", (F.col("part") + F.coalesce("more", F.lit(0))).cast("long").alias(out)).drop("__own")
 
 
 def op10_pretoken_counts(spark, sf_dir):

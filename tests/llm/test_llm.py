@@ -730,6 +730,16 @@ def morse(n, a, b):
     return "".join(a if i.bit_count() % 2 else b for i in range(n))
 
 
+def test_tables_of_the_text_alone_are_counted_too(spark):
+    from heliograph.llm.token_counts import token_counts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([("one two three",), (None,), ("one two three",)], "text string")
+    for most in (1_000_000, 0):
+        assert sorted(r.n_tokens for r in token_counts(df, path, max_broadcast=most).collect()) == [0, 3, 3]
+        assert token_counts(df, path, max_broadcast=most).columns == ["n_tokens"]
+
+
 def test_words_that_polynomial_hashes_confuse(spark):
     """Thue-Morse words and their complements collide under every polynomial modulo 2**64."""
     from heliograph.llm.packing import pack_documents
