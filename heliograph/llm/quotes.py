@@ -114,6 +114,29 @@ def _parsed(text: str):
     return run
 
 
+def _without_rings(links: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
+    """The links (me, m, parent) without that of each ring's earliest message.
+
+    Every message has one link at most.  Pointers double each round; who reaches a message
+    without a link is out.  After as many rounds as the rest has binary digits, the rest's
+    pointers lead to all messages on rings, and each of these has seen its whole ring.
+    """
+    walk = scratch.table(links.select("m", F.col("parent").alias("to"), F.col("me").alias("low")), "walk0")
+    left, k = walk.count(), 0
+    while left and (1 << k) < 2 * left:
+        if k >= max_rounds:
+            raise RuntimeError(f"rings did not show in {max_rounds} rounds")
+        on = walk.select(F.col("m").alias("um"), F.col("to").alias("uto"), F.col("low").alias("ulow"))
+        k += 1
+        walk = scratch.table(walk.join(on, F.col("to.m") == F.col("um")).select("m", F.col("uto").alias("to"), F.least("low", "ulow").alias("low")), f"walk{k}")
+        scratch.drop(f"walk{k - 1}")
+        left = walk.count()
+    if not left:
+        return links
+    rings = scratch.table(walk.select(F.col("to.m").alias("m")).distinct().join(walk.select("m", F.col("low.m").alias("cut")), "m").select("cut").distinct(), "rings")
+    return join_checked(links, rings, F.col("m") == F.col("cut"), "left_anti")
+
+
 OUT = ("message_id", "thread_conv", "thread_turn", "reply_depth", "parent_conv", "parent_turn", "n_quotes")
 
 
@@ -157,22 +180,19 @@ def link_quotes(messages: DataFrame, *, min_words: int = 3, keep_unlinked: bool
         asked = scratch.table(quotes.select("key").distinct(), "asked")
         units = whole.where(named).select(at.alias("of"), F.explode(_units(F.col("__own"))).alias("u")).select("of", "u.key", "u.words")
         units = scratch.table(join_checked(units, asked, "key", "left_semi"), "units")
-        near = units.groupBy(F.col("of.c").alias("c"), "key").agg(F.min("of").alias("of"))
-        inside = quotes.withColumn("c", F.col("me.c")).join(near, ["c", "key"], "left").where(F.col("of.t") < F.col("me.t"))
-        far = units.where(F.col("words") >= min_words).groupBy("key").agg(F.min("of").alias("of"))
-        elsewhere = quotes.join(far, "key").where(F.col("of.c") != F.col("me.c"))
-        rank = lambda own: F.struct(F.lit(own).alias("far"), "level", "part", "of")
-        every = inside.select("me", rank(0).alias("r")).unionByName(elsewhere.where("of < me").select("me", rank(1).alias("r")))
-        links = lambda df: df.groupBy("me").agg(F.min("r").alias("r")).select("me", F.col("me.m").alias("m"), F.col("r.of").alias("parent"))
-        back = scratch.table(links(every), "back")
-        found = _resolved(back, scratch, "round", max_rounds)
-        ahead = links(elsewhere.where("of > me").join(back.select("me"), "me", "left_anti").select("me", rank(2).alias("r")))
-        ahead = scratch.table(ahead, "ahead")
-        if ahead.limit(1).count():
-            tops = ahead.join(found.select(F.col("m").alias("pm"), F.col("top").alias("ptop")), F.col("parent.m") == F.col("pm"), "left").withColumn("top", F.coalesce("ptop", "parent"))
-            points = ahead.select(F.col("m").alias("tm"))
-            tops = tops.join(points, F.col("top.m") == F.col("tm"), "left").where((F.col("top.m") != F.col("m")) & ((F.col("top") < F.col("me")) | F.col("tm").isNull()))
-            found = _resolved(back.select("m", "parent").unionByName(tops.select("m", "parent")), scratch, "ahead", max_rounds)
+        near = units.groupBy(F.col("of.c").alias("c"), "key").agg(F.min("of").alias("of"), F.max("words").alias("words"))
+        near = scratch.table(near, "near")
+        inside = quotes.withColumn("c", F.col("me.c")).join(near.drop("words"), ["c", "key"], "left").where(F.col("of.t") < F.col("me.t"))
+        # the earliest message with these words, and for those who ask in its own conversation the earliest one of another
+        common = near.where(F.col("words") >= min_words)
+        first = common.groupBy("key").agg(F.min("of").alias("first"))
+        second = common.join(first, "key").where(F.col("of.c") != F.col("first.c")).groupBy("key").agg(F.min("of").alias("second"))
+        far = quotes.join(first, "key").join(second, "key", "left")
+        far = far.withColumn("of", F.when(F.col("first.c") != F.col("me.c"), F.col("first")).otherwise(F.col("second"))).where("of is not null")
+        rank = lambda own: F.struct(own.alias("far"), "level", "part", "of")
+        every = inside.select("me", rank(F.lit(0)).alias("r")).unionByName(far.select("me", rank(F.when(F.col("of") < F.col("me"), 1).otherwise(2)).alias("r")))
+        links = every.groupBy("me").agg(F.min("r").alias("r")).select("me", F.col("me.m").alias("m"), F.col("r.of").alias("parent"))
+        found = _resolved(_without_rings(scratch.table(links, "links"), scratch, max_rounds), scratch, "round", max_rounds)
     if found is None:
         nothing = F.lit(None)
         out = whole.withColumns({"parent_conv": nothing.cast(base.schema[conv].dataType), "parent_turn": nothing.cast(base.schema[turn].dataType), "thread_conv": F.col(conv), "thread_turn": F.col(turn), "reply_depth": F.lit(0).cast("long"), "__linked": F.lit(False)})
@@ -206,20 +226,15 @@ asked AS (SELECT r, level, 0 AS part, passage AS t FROM passages UNION ALL SELEC
 quotes AS (SELECT msg.r, conv_id, turn, level, part, trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS key
  FROM asked JOIN msg ON msg.r = asked.r WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 near AS (SELECT conv_id, key, min(turn) AS t FROM units WHERE key <> '' GROUP BY conv_id, key),
-far AS (SELECT key, min({'c': conv_id, 't': turn}) AS o FROM units WHERE len(string_split(key, ' ')) >= 3 GROUP BY key),
+common AS (SELECT key, conv_id AS c, t FROM near WHERE len(string_split(key, ' ')) >= 3),
 found AS (SELECT r, {'far': 0, 'level': level, 'part': part, 'c': q.conv_id, 't': near.t} AS f FROM quotes q JOIN near ON near.conv_id = q.conv_id AND near.key = q.key WHERE near.t < q.turn
- UNION ALL SELECT r, {'far': 1, 'level': level, 'part': part, 'c': far.o.c, 't': far.o.t} FROM quotes q JOIN far ON far.key = q.key
-  WHERE far.o.c <> q.conv_id AND (far.o.c < q.conv_id OR (far.o.c = q.conv_id AND far.o.t < q.turn))),
+ UNION ALL SELECT r, {'far': CASE WHEN o.c < conv_id THEN 1 ELSE 2 END, 'level': level, 'part': part, 'c': o.c, 't': o.t}
+ FROM (SELECT q.r, q.conv_id, q.level, q.part, min({'c': far.c, 't': far.t}) AS o FROM quotes q JOIN common far ON far.key = q.key AND far.c <> q.conv_id GROUP BY q.r, q.conv_id, q.level, q.part, q.key)),
 best AS (SELECT r, min(f) AS f FROM found GROUP BY r),
-walk AS (SELECT r, 1 AS depth, f.c AS tc, f.t AS tt FROM best
- UNION ALL SELECT w.r, w.depth + 1, b.f.c, b.f.t FROM walk w JOIN msg p ON p.conv_id = w.tc AND p.turn = w.tt JOIN best b ON b.r = p.r),
-tops AS (SELECT r, max(depth) AS depth, arg_max(tc, depth) AS tc, arg_max(tt, depth) AS tt FROM walk GROUP BY r),
-ahead AS (SELECT q.r, q.conv_id, q.turn, min({'far': 2, 'level': level, 'part': part, 'c': far.o.c, 't': far.o.t}) AS f FROM quotes q JOIN far ON far.key = q.key
- WHERE far.o.c > q.conv_id AND q.r NOT IN (SELECT r FROM best) GROUP BY q.r, q.conv_id, q.turn),
-aimed AS (SELECT a.r, a.conv_id, a.turn, any_value(a.f) AS f, min(coalesce(t.tc, a.f.c)) AS tc, min(coalesce(t.tt, a.f.t)) AS tt
- FROM ahead a JOIN msg p ON p.conv_id = a.f.c AND p.turn = a.f.t LEFT JOIN tops t ON t.r = p.r GROUP BY a.r, a.conv_id, a.turn),
-every AS (SELECT r, f FROM best UNION ALL SELECT a.r, a.f FROM aimed a WHERE NOT (a.tc = a.conv_id AND a.tt = a.turn) AND (a.tc < a.conv_id OR (a.tc = a.conv_id AND a.tt < a.turn)
- OR NOT EXISTS (SELECT 1 FROM ahead b WHERE b.conv_id = a.tc AND b.turn = a.tt))),
+step AS (SELECT b.r, p.r AS x FROM best b JOIN msg p ON p.conv_id = b.f.c AND p.turn = b.f.t),
+reach AS (SELECT r, x FROM step UNION SELECT a.r, b.x FROM reach a JOIN step b ON b.r = a.x),
+ring AS (SELECT a.r, min({'c': conv_id, 't': turn}) AS low FROM reach a JOIN reach b ON a.r = b.r JOIN msg p ON p.r = b.x WHERE a.r = a.x GROUP BY a.r),
+every AS (SELECT b.r, b.f FROM best b JOIN msg p ON p.r = b.r LEFT JOIN ring ON ring.r = b.r WHERE ring.r IS NULL OR NOT (low.c = conv_id AND low.t = turn)),
 stroll AS (SELECT r, 1 AS depth, f.c AS tc, f.t AS tt FROM every
  UNION ALL SELECT w.r, w.depth + 1, b.f.c, b.f.t FROM stroll w JOIN msg p ON p.conv_id = w.tc AND p.turn = w.tt JOIN every b ON b.r = p.r),
 heads AS (SELECT r, max(depth) AS depth, arg_max(tc, depth) AS tc, arg_max(tt, depth) AS tt FROM stroll GROUP BY r)

@@ -16,7 +16,8 @@ the ordinary one doesn't, less a few bytes a match.
 
 A text's score is a logistic function of its largest margin, of the sum of its margins above
 what ordinary windows have, and of its length, fitted on labelled texts kept aside.  The
-score is shifted so that 0.5 is the threshold with the best F1 among these.
+score is shifted so that 0.5 is the threshold with the best F1 among these, of those under
+which half of what is called toxic is.
 """
 
 from __future__ import annotations
@@ -205,6 +206,8 @@ def fitted(toxic: list[str], ordinary: list[str], size: int = 8_192) -> Classifi
     aside = [s[::3] for s in sides]
     spreads = [_spread(s) for s in learn]
     kept = [_typical(spreads[i], len(learn[i]), spreads[1 - i], len(learn[1 - i])) for i in (0, 1)]
+    if not len(kept[0][0]):  # too few labels to tell: nothing is toxic
+        return model
     model.toxic = trained(_stretches(learn[0], kept[0]), size)
     alike = np.isin(spreads[1][0], np.setdiff1d(_grams(model.toxic), kept[0][0]))
     model.ordinary = trained(_stretches(learn[1], kept[1]) + _stretches(learn[1], (spreads[1][0][alike], spreads[1][1][alike])), size)
@@ -216,10 +219,11 @@ def fitted(toxic: list[str], ordinary: list[str], size: int = 8_192) -> Classifi
     z = x @ w
     order = np.argsort(-z, kind="stable")
     hits, at = np.cumsum(y[order]), np.arange(1, len(z) + 1)
-    f1 = np.where(np.append(z[order][1:] < z[order][:-1], True), 2 * hits / (at + y.sum()), -1)
+    possible = np.append(z[order][1:] < z[order][:-1], True) & (2 * hits >= at)
+    f1 = np.where(possible, 2 * hits / (at + y.sum()), -1)
     best = int(f1.argmax())
-    cut = z[order][best] if best + 1 == len(z) else (z[order][best] + z[order][best + 1]) / 2
-    w[-1] -= cut
+    after = z[order][best + 1] if best + 1 < len(z) else z[order][best]
+    w[-1] -= (z[order][best] + after) / 2 if possible.any() else z[order][0] + 1
     model.weights = w.tolist()
     return model
 

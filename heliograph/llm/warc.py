@@ -113,19 +113,34 @@ def parsed(raw: bytes) -> dict:
     }
 
 
+#: Hadoop's names for file systems that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "abfss": "abfs"}
+
+
+def known(uri: str) -> str:
+    """A URI as pyarrow writes it; a bare path is a local one."""
+    scheme, rest = uri.split(":", 1) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri) else ("file", uri)
+    return f"{SCHEMES.get(scheme.lower(), scheme)}:{rest}" if scheme != "file" or rest.startswith("//") else f"file://{rest}"
+
+
 class Store:
     """A folder on any file system, addressed by its URI."""
 
     def __init__(self, uri: str):
-        self.fs, self.base = pyarrow.fs.FileSystem.from_uri(uri)
+        self.fs, self.base = pyarrow.fs.FileSystem.from_uri(known(uri))
 
     def write(self, name: str, parts: Iterator[bytes]) -> None:
         self.fs.create_dir(self.base, recursive=True)
         mine = f"{self.base}/.{name}.{uuid.uuid4().hex}"
-        with self.fs.open_output_stream(mine, compression=None) as out:
-            for p in parts:
-                out.write(p)
-        self.fs.move(mine, f"{self.base}/{name}")
+        try:
+            with self.fs.open_output_stream(mine, compression=None) as out:
+                for p in parts:
+                    out.write(p)
+            self.fs.move(mine, f"{self.base}/{name}")
+        except BaseException:  # a failed attempt leaves nothing behind
+            if self.fs.get_file_info(mine).type != pyarrow.fs.FileType.NotFound:
+                self.fs.delete_file(mine)
+            raise
 
     def stream(self, name: str):
         return self.fs.open_input_stream(f"{self.base}/{name}", compression=None)

@@ -59,6 +59,9 @@ def test_quotes_link_reorder_and_disappear(spark):
         (2, 1, "g", "> something never said before\nhm"),
         (2, 2, None, None), (None, 3, "x", "> Hello there dear friends.\ny"), (3, None, "z", ""), (4, 0, "q", "same"), (4, 0, "q", "same"),
         (5, 0, "r", "> this was only said later on\nearly bird"), (7, 0, "s", "this was only said later on"), (8, 0, "t", "> EARLY bird\nlast"),
+        (3, 1, "k", "> stands in later turns and in seven\nasks"), (3, 5, "k", "stands in later turns and in seven"), (7, 1, "k", "stands in later turns and in seven"),
+        (3, 7, "k", "> said in the seventh only once\nsaid in the seventh only once"), (7, 2, "k", "said in the seventh only once"),
+        (11, 0, "c", "> the second of the chain\nthe first of the chain"), (12, 0, "c", "> the third of the chain\nthe second of the chain"), (13, 0, "c", "> the fourth of the chain\nthe third of the chain"), (14, 0, "c", "the fourth of the chain"),
         (5, 1, "u", "> one ring to rule\nwords of the fifth"), (6, 0, "v", "> words of the fifth\none ring to rule"), (9, 0, "w", ">>> print(1)\n1"), (9, 1, "w", ("word " * 30_000) + "\n> " + "long " * 30_000),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, reply_depth int")
@@ -71,7 +74,9 @@ def test_quotes_link_reorder_and_disappear(spark):
     assert got[2, 0] == (1, 0, 3, 1, 2, 1, "forwarded")
     assert got[2, 1] == (2, 1, 0, None, None, 1, "> something never said before\nhm")  # no message's words: kept
     assert got[5, 0] == (7, 0, 1, 7, 0, 1, "early bird")  # said in a later conversation only
-    assert got[6, 0][3:5] == (5, 1) and got[5, 1][3:5] == (None, None)  # no rings
+    assert got[6, 0][3:5] == (5, 1) and got[5, 1][3:5] == (None, None)  # a ring loses the link of its earliest message
+    assert got[3, 1][3:5] == (7, 1) and got[3, 7][3:5] == (7, 2)  # the asker's own conversation has it only later
+    assert [got[c, 0][:3] for c in (11, 12, 13, 14)] == [(14, 0, 3), (14, 0, 2), (14, 0, 1), (14, 0, 0)]  # forward links in a chain
     assert got[9, 0][6] == ">>> print(1)\n1"
     bare = link_quotes(df, keep_unlinked=False).where("conv_id = 2 and turn = 1 or conv_id = 9 and turn = 0").orderBy("conv_id").collect()
     assert [r.text for r in bare] == ["hm", "1"]
@@ -678,6 +683,21 @@ def test_an_archive_cut_at_a_records_edge_is_an_error():
     assert list(records_of(inflated(io.BytesIO(b"".join(members))))) == raw
 
 
+def test_archives_are_addressed_as_on_a_cluster(tmp_path):
+    from heliograph.llm.warc import Store, known
+
+    assert [known(u) for u in ("s3a://b/x", "S3N://b/x", "hdfs://n/x", "file:/tmp/x", "file:///tmp/x", "/tmp/x")] == ["s3://b/x", "s3://b/x", "hdfs://n/x", "file:///tmp/x", "file:///tmp/x", "file:///tmp/x"]
+
+    def broken():
+        yield b"half"
+        raise RuntimeError("lost")
+
+    store = Store(str(tmp_path))
+    with pytest.raises(RuntimeError, match="lost"):
+        store.write("a.warc", broken())
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_revisits_of_repeated_pages_and_pages_without_an_id(spark):
     from heliograph.llm.warc import with_revisits
 
