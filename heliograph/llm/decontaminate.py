@@ -25,7 +25,7 @@ from heliograph.llm.tables import extended, read, tidy, without
 from heliograph.llm.wordscan import chunks, range_hashes, window_hashes, words_of
 from heliograph.storage import Scratch
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 STATE = ("__n_words", "__ranges", "__items")
 
 

@@ -24,7 +24,8 @@ import numpy as np
 from heliograph.llm.wordscan import checked_hashes, chunks
 
 OWN, LETTER, NUMBER, SPACE, OTHER, EDGE = range(6)
-CHUNK = 1 << 20
+#: Characters that are split, and that the library takes, at a time.
+CHUNK, WHOLE = 1 << 19, 1 << 18
 PLANE = 1 << 16
 
 
@@ -103,8 +104,9 @@ class Splitter:
         return self._tok
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts by the library."""
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of whole texts by the library, a few at a time, as its own results take far more room than the ids."""
+        parts = (texts[a:b] for a, b in chunks([len(t) + 64 for t in texts], WHOLE))
+        return [e.ids for part in parts for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
     def _prepared(self, text: str) -> str | None:
         """The text as its pre-tokens are cut from it; None if the library must take it whole."""
