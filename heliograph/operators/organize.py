@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.columns import basename, date_folder, dated_name, dirname, sanitize_segment, with_suffix
 from heliograph.operators.groups import redundant_copies
 from heliograph.operators.library import active_under, under
+from heliograph.operators.ranks import numbered
 from heliograph.schemas import ORGANIZE_MODE, ValidationFailed
+from heliograph.storage import Scratch
 
 
 @dataclass(frozen=True)
@@ -97,58 +99,100 @@ def classified(photos: DataFrame, spec: OrganizeSpec, groups: DataFrame, members
     return rows.withColumn("class", kind).withColumn("undated", (F.col("class") != "duplicate") & F.col("captured_at").isNull() & F.lit(spec.mode == "date"))
 
 
-def stems(path: Column) -> Column:
-    """The names that a name can come from by suffixing once or more, and itself, shortest first."""
-    form = r"((?:_(?:0[1-9]|[1-9][0-9]+))+)(\.[^./]*)?$"
-    tail, end = F.regexp_extract(path, form, 1), F.regexp_extract(path, form, 2)
-    head, parts = F.substr(path, F.lit(1), F.length(path) - F.length(tail) - F.length(end)), F.split(tail, "_")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(head, F.array_join(F.slice(parts, F.lit(1), i), "_"), end))
+def origin(path: Column) -> Column:
+    """(name, number): the name that suffixing turns into this one and the number it takes; null for a name that no suffixing makes."""
+    end = F.regexp_extract(path, r"(?<=[^/])(\.[^./]*)$", 1)
+    stem = F.substr(path, F.lit(1), F.length(path) - F.length(end))
+    digits = F.regexp_extract(stem, r"[^/]_(0[1-9]|[1-9][0-9]+)$", 1)
+    number = digits.try_cast("long")
+    return F.when(number.isNotNull(), F.struct(F.concat(F.substr(stem, F.lit(1), F.length(stem) - F.length(digits) - 1), end).alias("name"), number.alias("number")))
 
 
-def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy names for one family, in path order; rows without an id are taken already."""
-    held = set(pdf.loc[pdf["id"].isna(), "candidate"])
-    own = pdf[pdf["id"].notna()].sort_values("path")
-    names = []
-    for want in own["candidate"]:
-        cut = want.rfind(".")
-        cut = cut if cut > want.rfind("/") + 1 else len(want)
-        free, n = want, 0
-        while free in held:
-            n += 1
-            free = f"{want[:cut]}_{n:02d}{want[cut:]}"
-        held.add(free)
-        names.append(free)
-    return pd.DataFrame({"id": own["id"].astype("int64"), "dest": names})
+def _suffixed(candidate: Column, number: Column) -> Column:
+    return F.when(number == 0, candidate).otherwise(F.concat(dirname(candidate), F.lit("/"), with_suffix(basename(candidate), number)))
+
+
+def _contested(contests: DataFrame, gaps: DataFrame, scratch: Scratch, max_rounds: int = 64) -> DataFrame:
+    """(name, number, child, won) of contests (name, number, child, before): whether suffixing takes a name before those who ask for it do.
+
+    The photo of ``name`` whose turn for ``number`` comes is the one with as many before it
+    as there are free numbers below; it wins if it stands among the ``before`` photos that
+    precede the first asking for ``child``.  Numbers that are lost shift all later turns, so
+    a name's contests are decided in order, and a name's after the one over itself.
+    """
+    schema = "name string, number long, child string, won boolean"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        lost, out = int(pdf["shifted"].iloc[0]), []
+        for r in pdf.sort_values("number").itertuples():
+            if r.child is None:
+                lost += 1
+            else:
+                won = r.number - lost < r.before
+                lost += not won
+                out.append((r.name, r.number, r.child, won))
+        return pd.DataFrame(out, columns=["name", "number", "child", "won"])
+
+    taken = gaps.select("name", "number", F.lit(None).cast("string").alias("child"), F.lit(0).cast("long").alias("before"))
+    decided = scratch.spark.createDataFrame([], schema)
+    for k in range(max_rounds):
+        if contests.isEmpty():
+            return decided
+        ready = contests.join(contests.select(F.col("child").alias("name")), "name", "left_anti")
+        own = ready.unionByName(taken.join(ready.select("name"), "name", "left_semi"))
+        shifted = own.join(decided.where("won").select(F.col("child").alias("name"), F.lit(1).alias("shifted")), "name", "left").withColumn("shifted", F.coalesce("shifted", F.lit(0)))
+        new = scratch.table(shifted.withColumnRenamed("name", "n").withColumn("name", F.col("n")).groupBy("n").applyInPandas(lambda pdf: fold(pdf.drop(columns="n")), schema), f"decided{k}")
+        contests = scratch.table(contests.join(new.select("name"), "name", "left_anti"), f"open{k}")
+        decided = decided.unionByName(new)
+    raise RuntimeError("suffixes are nested too deeply")
 
 
 def planned_moves(rows: DataFrame, photos: DataFrame, spec: OrganizeSpec) -> DataFrame:
     """(id, src, dest, size_bytes): destinations that collide with nothing, planned or present, whatever its status.
 
-    A suffixed name can only meet one that was asked for or taken and comes from an asked
-    name by suffixing, so a family is what has the same shortest asked stem: ``IMG.jpg`` and
-    ``IMG_01.jpg``, but not all ``IMG_0001.jpg`` of a folder.  Families of one photo without
-    a taken name need no group at all.
+    In path order every photo takes the name it asks for or the first free suffix.  Photos
+    that ask for one name take its free numbers in turn, so the k-th photo's number is its
+    place among photos and taken numbers: both are merged by how many free numbers stand
+    before them, and a distributed rank numbers the whole.  Only names that suffixing can
+    turn into others that are asked for need more, one decision for each (``_contested``).
     """
-    moves = rows.where("class = 'move'").select("id", F.col("path").alias("src"), "candidate", "size_bytes")
-    asked, taken = moves.select(F.col("candidate").alias("name")).distinct(), photos.where(under(spec.destination)).select(F.col("path").alias("name")).distinct()
-    reach = asked.union(taken).distinct().select("name", F.explode(stems(F.col("name"))).alias("stem"))
-    roots = reach.join(asked.withColumnRenamed("name", "stem"), "stem").groupBy("name").agg(F.min(F.struct(F.length("stem"), "stem"))["stem"].alias("family"))
-    asked = moves.select("id", F.col("src").alias("path"), "candidate").join(roots.withColumnRenamed("name", "candidate"), "candidate")
-    held = taken.join(roots, "name").select(F.lit(None).cast("long").alias("id"), F.col("name").alias("path"), F.col("name").alias("candidate"), "family")
-    every = asked.select(held.columns).union(held)
-    busy = every.groupBy("family").count().where("count > 1").select("family")
-    calm = asked.join(busy, "family", "left_anti").select("id", F.col("candidate").alias("dest"))
-    crowded = every.join(busy, "family", "left_semi").groupBy("family").applyInPandas(_numbered, "id long, dest string")
-    return calm.unionByName(crowded).join(moves.select("id", "src", "size_bytes"), "id").select("id", "src", "dest", "size_bytes")
+    scratch = Scratch(rows.sparkSession, "moves")
+    moves = scratch.table(rows.where("class = 'move'").select("id", F.col("path").alias("src"), "candidate", "size_bytes"), "moves")
+    asked = scratch.table(moves.groupBy(F.col("candidate").alias("name")).agg(F.count("*").alias("n"), F.min("src").alias("first")).withColumn("of", origin(F.col("name"))), "asked")
+    taken = photos.where(under(spec.destination)).select(F.col("path").alias("name")).distinct()
+    hits = F.filter(F.array(F.struct(F.col("name"), F.lit(0).cast("long").alias("number")), origin(F.col("name"))), lambda x: x.isNotNull())
+    gaps = taken.select(F.explode(hits).alias("g")).select("g.name", "g.number").join(asked.select("name"), "name", "left_semi")
+    gaps = scratch.table(gaps, "gaps")
+
+    free = asked.where("of is not null").join(gaps.where("number = 0").select("name"), "name", "left_anti")
+    free = free.select(F.col("of.name").alias("name"), F.col("of.number").alias("number"), F.col("name").alias("child"), "first")
+    over = scratch.table(free.join(asked.select("name"), "name", "left_semi"), "over")
+    if not over.isEmpty():
+        marks = over.select("name", F.col("first").alias("src"), "child", "number")
+        photos_of = moves.join(over.select(F.col("name").alias("candidate")), "candidate", "left_semi").select(F.col("candidate").alias("name"), "src", F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("number"))
+        among = numbered(scratch.table(marks.unionByName(photos_of), "marked"), ["name"], ["src", "child"], "both").where("child is not null")
+        alone = numbered(over, ["name"], ["first", "child"], "own").select("name", "child", "own")
+        contests = among.join(alone, ["name", "child"]).select("name", "number", "child", (F.col("both") - F.col("own")).alias("before"))
+        decided = _contested(scratch.table(contests, "contests"), gaps, scratch)
+        lost = decided.select(F.when(F.col("won"), F.col("child")).otherwise(F.col("name")).alias("name"), F.when(F.col("won"), F.lit(0).cast("long")).otherwise(F.col("number")).alias("number"))
+        gaps = scratch.table(gaps.unionByName(lost), "all_gaps")
+
+    holes = gaps.select(F.col("name").alias("candidate")).distinct()
+    busy = asked.where("n > 1").select(F.col("name").alias("candidate")).union(holes).distinct()
+    calm = moves.join(busy, "candidate", "left_anti").select("id", "src", F.col("candidate").alias("dest"), "size_bytes")
+    crowded = numbered(scratch.table(moves.join(busy, "candidate", "left_semi"), "crowded"), ["candidate"], ["src", "id"], "number")
+    if not gaps.isEmpty():
+        crowded = scratch.table(crowded, "in_turn")
+        order = numbered(gaps, ["name"], ["number"], "i").select(F.col("name").alias("candidate"), (F.col("number") - F.col("i")).alias("free"), F.col("number").alias("tie"), F.lit(0).alias("kind"))
+        merged = order.unionByName(crowded.withColumns({"free": F.col("number"), "tie": F.col("number"), "kind": F.lit(1)}).drop("number"), allowMissingColumns=True)
+        crowded = numbered(scratch.table(merged, "merged"), ["candidate"], ["free", "kind", "tie"], "number").where("kind = 1")
+    return calm.unionByName(crowded.select("id", "src", _suffixed(F.col("candidate"), F.col("number")).alias("dest"), "size_bytes"))
 
 
 def suffixed_fast(rows: DataFrame) -> DataFrame:
     """(id, dest) where no natural name looks like a suffixed one: the k-th photo of a candidate in path order gets suffix k-1."""
-    k = F.row_number().over(Window.partitionBy("candidate").orderBy("path")) - 1
-    named = rows.where("class = 'move'").withColumn("k", k)
-    name = F.when(F.col("k") == 0, F.col("candidate")).otherwise(F.concat(dirname("candidate"), F.lit("/"), with_suffix(basename("candidate"), "k")))
-    return named.select("id", name.alias("dest"))
+    moves = Scratch(rows.sparkSession, "fast").table(rows.where("class = 'move'").select("id", "path", "candidate"), "moves")
+    return numbered(moves, ["candidate"], ["path", "id"], "k").select("id", _suffixed(F.col("candidate"), F.col("k")).alias("dest"))
 
 
 def plan_counters(rows: DataFrame) -> DataFrame:

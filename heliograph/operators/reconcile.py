@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.columns import basename, dirname, extension, mime_of
+from heliograph.operators.ranks import numbered
 from heliograph.schemas import RUNNING
+from heliograph.storage import Scratch
 
 
 def classify(disk: DataFrame, index: DataFrame) -> DataFrame:
@@ -29,10 +31,13 @@ def move_pairs(vanished: DataFrame, added: DataFrame) -> DataFrame:
     """(old_id, old_path, new_path): vanished rows paired one to one with added files of the same content.
 
     Any pairing of equal content is as good; this one is fixed: vanished by (root_id, id), added by path, last first.
+    Ranks are distributed, so one content with a million files is no task's alone.
     """
-    v = vanished.where(F.col("sha256").isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("sha256").orderBy("root_id", "id")))
-    a = added.where(F.col("sha256").isNotNull()).withColumn("k", F.row_number().over(Window.partitionBy("sha256").orderBy(F.desc("path"))))
-    return v.select("sha256", "k", F.col("id").alias("old_id"), F.col("path").alias("old_path")).join(a.select("sha256", "k", F.col("path").alias("new_path")), ["sha256", "k"]).select("old_id", "old_path", "new_path")
+    scratch = Scratch(vanished.sparkSession, "pairs")
+    v = scratch.table(vanished.where(F.col("sha256").isNotNull()).select("sha256", "root_id", F.col("id").alias("old_id"), F.col("path").alias("old_path")), "vanished")
+    a = scratch.table(added.where(F.col("sha256").isNotNull()).select("sha256", F.col("path").alias("new_path")), "added")
+    one, other = numbered(v, ["sha256"], ["root_id", "old_id"], "k"), numbered(a, ["sha256"], [F.desc("new_path")], "k")
+    return one.join(other, ["sha256", "k"]).select("old_id", "old_path", "new_path")
 
 
 def missing(classes: DataFrame, moves: DataFrame) -> DataFrame:

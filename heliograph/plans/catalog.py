@@ -681,7 +681,29 @@ def _(spark, d):
     return O.suffixed_fast(_plan(spark, d))
 
 
-@query("w03_suffix_exact", f"WITH {NAMED} SELECT id, src, dest, size_bytes FROM named")
+#: Photos of a folder ask for few names, among them ones that suffixing makes of others; some names and suffixes are taken.
+WANT = "'/out/' || lang || '/' || source || '/' || CASE WHEN id % 8 < 4 THEN 'IMG.jpg' WHEN id % 8 = 4 THEN 'IMG_01.jpg' WHEN id % 8 = 5 THEN 'IMG_0' || (id % 3 + 2) || '.jpg' WHEN id % 8 = 6 THEN 'IMG_01_01.jpg' ELSE 'plain' END"
+THERE = "'/out/' || lang || '/' || source || '/' || CASE WHEN id % 10 = 0 THEN 'IMG_0' || (id % 4 + 1) || '.jpg' ELSE 'plain_01' END"
+CROWD = f"""
+crowd AS (SELECT id, path, size_bytes, {WANT} AS candidate, {THERE} AS there FROM (SELECT doc_id AS id, lang, source, p.path, p.size_bytes FROM documents JOIN photos p ON p.id = doc_id)),
+folders AS (SELECT regexp_replace(candidate, '/[^/]*$', '') AS folder, list(DISTINCT there) FILTER (id % 10 < 2) AS held FROM crowd GROUP BY 1),
+queue AS (SELECT *, regexp_replace(candidate, '/[^/]*$', '') AS folder, regexp_replace(candidate, '\\.jpg$', '') AS stem, CASE WHEN ends_with(candidate, '.jpg') THEN '.jpg' ELSE '' END AS ending,
+ row_number() OVER (PARTITION BY regexp_replace(candidate, '/[^/]*$', '') ORDER BY path) AS k FROM crowd),
+turns AS (SELECT folder, 0::BIGINT AS k, coalesce(held, []) AS held, NULL::BIGINT AS id, NULL::VARCHAR AS src, NULL::VARCHAR AS dest, NULL::BIGINT AS size_bytes FROM folders
+ UNION ALL SELECT folder, k, list_append(held, dest), id, path, dest, size_bytes FROM (SELECT t.folder, q.k, t.held, q.id, q.path, q.size_bytes,
+  list_filter(list_transform(range(0, len(t.held) + 1), lambda n: CASE WHEN n = 0 THEN q.candidate ELSE q.stem || '_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n || q.ending END), lambda c: NOT list_contains(t.held, c))[1] AS dest
+  FROM turns t JOIN queue q ON q.folder = t.folder AND q.k = t.k + 1))"""
+
+
+@query("w03_suffix_exact", f"WITH RECURSIVE {PH}, {CROWD} SELECT id, src, dest, size_bytes FROM turns WHERE k > 0")
+def _(spark, d):
+    at = P.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    rows = P.photos(spark, d).select("id", "path", "size_bytes").join(at, "id").withColumn("class", F.lit("move"))
+    rows = rows.withColumns({"candidate": F.expr(WANT), "there": F.expr(THERE)})
+    return O.planned_moves(rows, rows.where("id % 10 < 2").select(F.col("there").alias("path")), O.OrganizeSpec(("/lib",), "/out"))
+
+
+@query("w03_suffix_plain", f"WITH {NAMED} SELECT id, src, dest, size_bytes FROM named")
 def _(spark, d):
     return O.planned_moves(_plan(spark, d), P.photos(spark, d), SPEC)
 

@@ -198,9 +198,26 @@ def test_suffixes_equal_one_pass_over_all_names(spark, seed):
     assert got == want
 
 
-def test_numbered_names_of_a_camera_are_no_family(spark):
-    found = spark.createDataFrame([("/d/IMG_0001.jpg",), ("/d/IMG_01_02.jpg",), ("/d/x",)], "p string").select(O.stems(F.col("p")).alias("s"))
-    assert [r.s for r in found.collect()] == [["/d/IMG_0001.jpg"], ["/d/IMG.jpg", "/d/IMG_01.jpg", "/d/IMG_01_02.jpg"], ["/d/x"]]
+def test_numbered_names_of_a_camera_come_from_no_other(spark):
+    names = ["/d/IMG_0001.jpg", "/d/IMG_01_02.jpg", "/d/x", "/d/.a_07", "/d/_01.jpg", "/d/a_01.x_02", "/d/a_100", "/d/a_" + "9" * 30]
+    got = [r.o for r in spark.createDataFrame([(n,) for n in names], "p string").select(O.origin(F.col("p")).alias("o")).collect()]
+    assert [o and (o.name, o.number) for o in got] == [None, ("/d/IMG_01.jpg", 2), None, ("/d/.a", 7), None, ("/d/a.x_02", 1), ("/d/a", 100), None]
+
+
+def test_one_common_name_is_spread_over_tasks(spark):
+    from heliograph.operators.ranks import numbered
+
+    rows = spark.range(20_000).select("id", F.concat(F.lit("/lib/in/"), F.lpad("id", 6, "0")).alias("path"), F.lit("/out/a.jpg").alias("candidate"), F.lit(1).alias("size_bytes"), F.lit("move").alias("class"))
+    there = spark.createDataFrame([("/out/a.jpg",), ("/out/a_03.jpg",), ("/out/a_04.jpg",), ("/out/a_10001.jpg",)], "path string")
+    got = {r.id: r.dest for r in O.planned_moves(rows, there, O.OrganizeSpec(("/lib/in",), "/out")).collect()}
+    numbers = [n for n in range(1, 20_100) if n not in (3, 4, 10_001)]
+    assert [got[i] for i in range(20_000)] == [f"/out/a_{numbers[i]:02d}.jpg" for i in range(20_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few rows together
+    try:
+        dealt = numbered(rows, ["candidate"], ["path"]).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 0.6 * 20_000
 
 
 def test_rescan(spark):
