@@ -46,51 +46,54 @@ def tokens_of(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\t\x0B\f\r]"), masked).otherwise(plain)
 
 
-def digest(text: Column) -> Column:
-    """What a text is known by: 128 bits, so that no two texts are taken for one."""
-    return F.unhex(F.md5(text.cast("binary")))
+#: A text is known by two independent hashes, 96 bits, so that no two texts are taken for one.
+KNOWN = ("h", "g")
+
+
+def known(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.hash(F.lit("text"), text).alias("g")]
 
 
 def dropped_lines(
     docs: DataFrame, *, min_docs: int = 20, depth: int = 3, min_tokens: int = 3, similarity: float = 0.8, long_tokens: int = 50, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """(h, drops): by a text's digest, the numbers (from 0) of the lines to drop."""
+    """(h, g, drops): by a text's two hashes, the numbers (from 0) of the lines to drop."""
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), digest(F.col(text)).alias("h"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), *known(text), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
     lines = rows.withColumn("t", tokens_of(F.col("line"))).where(F.size("t") >= min_tokens)
     lines = lines.withColumn("node", F.xxhash64(F.size("t"), F.slice("t", 1, depth)))
     words = F.xxhash64(F.lit("words"), F.array_remove(F.split("line", GAPS), ""))
-    index = scratch.table(lines.select("d", "h", "no", "node", F.when(F.size("t") > long_tokens, words).alias("words")), "index")
-    nodes = index.select("node", "h").distinct().groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("node")
+    index = scratch.table(lines.select("d", *KNOWN, "no", "node", F.when(F.size("t") > long_tokens, words).alias("words")), "index")
+    nodes = index.select("node", *KNOWN).distinct().groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("node")
     nodes = scratch.table(nodes, "nodes")
-    held = join_checked(lines.select("d", "h", "no", "node", "t"), nodes, "node", "left_semi")
-    held = scratch.table(held.groupBy("h", "no").agg(F.min("d").alias("d"), F.first("node").alias("node"), F.first("t").alias("t")), "held")
+    held = join_checked(lines.select("d", *KNOWN, "no", "node", "t"), nodes, "node", "left_semi")
+    held = scratch.table(held.groupBy(*KNOWN, "no").agg(F.min("d").alias("d"), F.first("node").alias("node"), F.first("t").alias("t")), "held")
 
     plain = F.size(F.filter("t", lambda x: x != FIELD)).alias("plain")
-    fields = held.select("d", "h", "no", "node", plain, F.posexplode("t").alias("place", "token")).where(F.col("token") != FIELD)
+    fields = held.select("d", *KNOWN, "no", "node", plain, F.posexplode("t").alias("place", "token")).where(F.col("token") != FIELD)
     often = fields.groupBy("node", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     often = scratch.table(often, "often")
     # only tokens of enough lines are counted again, by different texts
-    texts = join_checked(fields.select("node", "place", "token", "h"), often, ["node", "place", "token"], "left_semi").distinct()
+    texts = join_checked(fields.select("node", "place", "token", *KNOWN), often, ["node", "place", "token"], "left_semi").distinct()
     texts = texts.groupBy("node", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     constant = scratch.table(texts.withColumn("level", F.floor(F.log2(F.col("n") / min_docs)).cast("int")).drop("n"), "constant")
     kept = join_checked(fields, constant, ["node", "place", "token"])
-    levels = kept.groupBy("d", "h", "no", "node", "plain", "level").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("mark"))
-    levels = levels.groupBy("d", "h", "no", "node", "plain").agg(F.collect_list(F.struct("level", "fixed", "mark")).alias("ls"))
+    levels = kept.groupBy("d", *KNOWN, "no", "node", "plain", "level").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("mark"))
+    levels = levels.groupBy("d", *KNOWN, "no", "node", "plain").agg(F.collect_list(F.struct("level", "fixed", "mark")).alias("ls"))
     from_level = lambda x: F.filter("ls", lambda y: y["level"] >= x["level"])
     fixed = lambda x: F.aggregate(from_level(x), F.lit(0).cast("long"), lambda n, y: n + y["fixed"])
     mark = lambda x: F.aggregate(from_level(x), F.lit(0).cast("long"), lambda n, y: n.bitwiseXOR(y["mark"]))
-    shapes = levels.select("d", "h", "no", "node", "plain", F.explode(F.transform("ls", lambda x: F.struct(fixed(x).alias("fixed"), mark(x).alias("mark")))).alias("x"))
+    shapes = levels.select("d", *KNOWN, "no", "node", "plain", F.explode(F.transform("ls", lambda x: F.struct(fixed(x).alias("fixed"), mark(x).alias("mark")))).alias("x"))
     shaped = shapes.where(F.col("x.fixed") >= F.col("plain") * similarity)
-    shaped = shaped.select("d", "h", "no", F.xxhash64("node", "x.fixed", "x.mark").alias("template"))
-    same_words = index.where("words is not null").select("d", "h", "no", F.col("words").alias("template"), F.lit(2).alias("least"))
+    shaped = shaped.select("d", *KNOWN, "no", F.xxhash64("node", "x.fixed", "x.mark").alias("template"))
+    same_words = index.where("words is not null").select("d", *KNOWN, "no", F.col("words").alias("template"), F.lit(2).alias("least"))
     shaped = scratch.table(shaped.withColumn("least", F.lit(min_docs)).unionByName(same_words), "shaped")
 
-    texts = shaped.groupBy("template", "least", "h").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d")).alias("d"))
-    recurring = texts.groupBy("template", "least").agg(F.count("*").alias("n"), F.min(F.struct("d", "h"))["h"].alias("first")).where("n >= least").select("template", "first")
+    texts = shaped.groupBy("template", "least", *KNOWN).agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d")).alias("d"))
+    recurring = texts.groupBy("template", "least").agg(F.count("*").alias("n"), F.min(F.struct("d", *KNOWN)).alias("first")).where("n >= least").select("template", F.col("first.h").alias("h1"), F.col("first.g").alias("g1"))
     recurring = scratch.table(recurring, "recurring")
-    gone = join_checked(shaped, recurring, "template").where("h <> first")
-    return scratch.table(gone.groupBy("h").agg(F.array_sort(F.collect_set("no")).alias("drops")), "drops")
+    gone = join_checked(shaped, recurring, "template").where("h <> h1 or g <> g1")
+    return scratch.table(gone.groupBy(*KNOWN).agg(F.array_sort(F.collect_set("no")).alias("drops")), "drops")
 
 
 def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -101,10 +104,10 @@ def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     columns named like the outputs are replaced.  A document with many lines is split
     and joined in its own row, never across rows.
     """
-    base = without(docs, "n_lines", "n_dropped", "__h", "__drops")
-    drops = dropped_lines(base, text=text, doc_id=doc_id, **options).select(F.col("h").alias("__hd"), F.col("drops").alias("__drops"))
-    keyed = base.withColumn("__h", digest(F.col(text)))
-    joined = join_checked(keyed, drops, F.col("__h") == F.col("__hd"), "left")
+    base = without(docs, "n_lines", "n_dropped", "__h", "__g", "__drops")
+    drops = dropped_lines(base, text=text, doc_id=doc_id, **options).select(F.col("h").alias("__hd"), F.col("g").alias("__gd"), F.col("drops").alias("__drops"))
+    keyed = base.select("*", *(c.alias(f"__{n}") for n, c in zip(KNOWN, known(text), strict=True)))
+    joined = join_checked(keyed, drops, (F.col("__h") == F.col("__hd")) & (F.col("__g") == F.col("__gd")), "left")
     lines = F.split(text, "\n", -1)
     n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drops")
