@@ -49,3 +49,28 @@ def backfill_page(photos: DataFrame, coordinates: DataFrame, after_id: int, limi
     todo = photos.where(is_active() & needs_location()).select("id")
     left = todo.join(F.broadcast(one), F.col("id") > F.col("last")).agg(F.count("*").alias("left"))
     return one.crossJoin(left).select("processed", "updated", F.when(more, F.col("last")).alias("next_after_id"), F.when(more, F.col("left")).otherwise(0).cast("long").alias("remaining"))
+
+
+def backfilled(photos: DataFrame, coordinates: DataFrame, gazetteer: DataFrame, after_id: int, limit: int, max_km: float = 100.0) -> DataFrame:
+    """The rows of one page as they become: id, latitude, longitude, city, region, country, place_distance_km.
+
+    A photo without coordinates takes those that its file has, if any (``coordinates``: id,
+    latitude, longitude).  Every located photo of the page gets the nearest place within
+    ``max_km``; one that is further from all of them has none, whatever it had, and so is
+    asked for again.
+    """
+    has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    rows = keyset_page(photos, after_id, limit).withColumn("known", has)
+    read = coordinates.where(has).select("id", F.col("latitude").alias("new_lat"), F.col("longitude").alias("new_lon"))
+    own = rows.join(read, "id", "left")
+    at = lambda old, new: F.when(F.col("known"), F.col(old)).otherwise(F.coalesce(new, old))
+    points = own.where(F.col("known") | F.col("new_lat").isNotNull()).select("id", at("latitude", "new_lat").alias("latitude"), at("longitude", "new_lon").alias("longitude"))
+    return nearest_place(points, gazetteer, max_km)
+
+
+def apply_backfill(photos: DataFrame, page: DataFrame) -> DataFrame:
+    """``photos`` with a page's coordinates and places."""
+    fields = ("latitude", "longitude", "city", "region", "country", "place_distance_km")
+    hit = page.select("id", F.lit(True).alias("__hit"), *(F.col(f).alias(f"__{f}") for f in fields))
+    both = photos.join(hit, "id", "left")
+    return both.withColumns({f: F.when(F.col("__hit"), F.col(f"__{f}").cast(photos.schema[f].dataType)).otherwise(F.col(f)) for f in fields}).select(photos.columns)

@@ -144,11 +144,16 @@ def camera_facets(photos: DataFrame) -> DataFrame:
     return photos.where(is_visible()).groupBy(camera).agg(F.count("*").alias("n")).orderBy(F.col("camera") == NO_CAMERA, F.desc("n"), "camera")
 
 
-def marked_worklist(photos: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Active photos that are marked or that a decision removes, by path."""
+def marked_worklist(photos: DataFrame, decisions: DataFrame, collation: str | None = None) -> DataFrame:
+    """Active photos that are marked or that a decision removes, by path; in the order of a ``collation`` such as UNICODE, else by code point."""
     removed = decisions.where("decision = 'remove'").select(F.col("photo_id").alias("id")).distinct().withColumn("__removed", F.lit(True))
     hit = photos.where(is_active()).join(removed, "id", "left").where(F.col("marked_for_deletion") | F.col("__removed"))
-    return hit.drop("__removed").orderBy("path")
+    return hit.drop("__removed").orderBy(collated("path", collation), "path")
+
+
+def collated(text: str, collation: str | None) -> Column:
+    """A text to sort by: accents and case as the collation orders them."""
+    return F.collate(text, collation) if collation else F.col(text)
 
 
 def keyset_page(photos: DataFrame, after_id: int, limit: int) -> DataFrame:

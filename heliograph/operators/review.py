@@ -92,6 +92,10 @@ class PairQueue:
         self.items[group] = (keeper, rest)
 
     def skip(self) -> None:
-        """Move the current group to the end."""
+        """Put the current pair after the others of its group; the last pair of a group goes after all groups."""
         if at := self.current():
-            self.items[at[0]] = self.items.pop(at[0])
+            keeper, left = self.items[at[0]]
+            if len(left) > 1:
+                self.items[at[0]] = (keeper, [*left[1:], left[0]])
+            else:
+                self.items[at[0]] = self.items.pop(at[0])

@@ -836,16 +836,6 @@ def _(spark, d):
     return jobs.distinct_list(e, "shard", "scan_id")
 
 
-@query("f14_scan_roots", f"WITH {P.ROOTS} SELECT id, path FROM roots WHERE id IN (2, 4)")
-def _(spark, d):
-    return jobs.roots_of(P.roots(spark).withColumn("enabled", F.lit(True)), [2, 4]).select("id", "path")
-
-
-@query("d18_add_root", f"WITH {P.ROOTS} SELECT id, path, true AS enabled FROM roots UNION ALL SELECT 5, '/lib/it', true")
-def _(spark, d):
-    return jobs.add_root(P.roots(spark).withColumn("enabled", F.lit(True)), "/lib/it/")
-
-
 @query("d18_remove_root", f"WITH {PH} SELECT id FROM photos WHERE root_id <> 2")
 def _(spark, d):
     return jobs.remove_root(P.roots(spark), P.photos(spark, d), 2)[1].select("id")

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from heliograph.plans import catalog, media, scalars  # noqa: E402, F401  (they register their queries)
+from heliograph.plans import catalog, media, scalars, state  # noqa: E402, F401  (they register their queries)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 # Schemas are DDL texts, which readers take as they are: importing this module needs no session.
@@ -63,6 +65,19 @@ class Settings:
         if not 0 <= self.hamming <= 7:
             raise ValidationFailed("the Hamming threshold is 0 to 7")
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "HELIOGRAPH_") -> Settings:
+        """Settings as the environment names them, HELIOGRAPH_HAMMING and so on; what it doesn't name keeps its default."""
+        found = {}
+        for f in fields(cls):
+            text = (os.environ if env is None else env).get(prefix + f.name.upper())
+            if text is not None and text.strip():
+                try:
+                    found[f.name] = type(f.default)(text)
+                except ValueError as e:
+                    raise ValidationFailed(f"{prefix}{f.name.upper()} is no {type(f.default).__name__}: {text}") from e
+        return cls(**found)
+
 
 class NotFound(Exception):
     """The named thing does not exist."""
