@@ -40,7 +40,17 @@ def _keys(threshold: int) -> Column:
     Settings(hamming=threshold)
     chosen = combinations(range(8), min(3, 8 - threshold))
     value = lambda places: sum((F.shiftleft(band("phash", b), 8 * i) for i, b in enumerate(places)), F.lit(0))
-    return F.array(*(F.struct(F.lit(k).alias("which"), value(places).alias("value")) for k, places in enumerate(chosen)))
+    return F.array(*(F.struct(F.lit(sum(1 << b for b in places)).alias("which"), value(places).alias("value")) for places in chosen))
+
+
+def _first_shared(a: str, b: str, threshold: int) -> Column:
+    """The choice of bytes on which two hashes meet first: so a pair is made once though it meets on others too."""
+    rest = sum((F.when(band(a, i) == band(b, i), 1 << i).otherwise(0) for i in range(8)), F.lit(0))
+    out = F.lit(0)
+    for _ in range(min(3, 8 - threshold)):
+        low = rest.bitwiseAND(-rest)
+        out, rest = out + low, rest - low
+    return out
 
 
 def hamming_links(hashes: DataFrame, threshold: int) -> DataFrame:
@@ -54,7 +64,7 @@ def hamming_links(hashes: DataFrame, threshold: int) -> DataFrame:
     a, b = lists.alias("a"), lists.alias("b")
     near = (F.col("a.which") == F.col("b.which")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.phash") > F.col("b.phash"))
     met = a.join(b, near & (hamming("a.phash", "b.phash") <= threshold))
-    return met.select(F.col("a.phash").alias("src"), F.col("b.phash").alias("dst")).distinct()
+    return met.where(F.col("a.which") == _first_shared("a.phash", "b.phash", threshold)).select(F.col("a.phash").alias("src"), F.col("b.phash").alias("dst"))
 
 
 def hash_components(photos: DataFrame, threshold: int) -> DataFrame:
