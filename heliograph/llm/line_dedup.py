@@ -59,7 +59,9 @@ def dropped_lines(
 ) -> DataFrame:
     """(h, g, drops): by a text's two hashes, the numbers (from 0) of the lines to drop."""
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), *known(text), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    # hashed before the lines part, or every line would carry its whole text along to be hashed
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), *known(text), F.split(text, "\n", -1).alias("ls"))
+    rows = rows.select("d", *KNOWN, F.posexplode("ls").alias("no", "line"))
     lines = rows.withColumn("t", tokens_of(F.col("line"))).where(F.size("t") >= min_tokens)
     lines = lines.withColumn("node", F.xxhash64(F.size("t"), F.slice("t", 1, depth)))
     words = F.xxhash64(F.lit("words"), F.array_remove(F.split("line", GAPS), ""))
@@ -104,11 +106,12 @@ def drop_templates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     columns named like the outputs are replaced.  A document with many lines is split
     and joined in its own row, never across rows.
     """
-    base = without(docs, "n_lines", "n_dropped", "__h", "__g", "__drops")
+    base = without(docs, "n_lines", "n_dropped", "__h", "__g", "__ls", "__drops")
     drops = dropped_lines(base, text=text, doc_id=doc_id, **options).select(F.col("h").alias("__hd"), F.col("g").alias("__gd"), F.col("drops").alias("__drops"))
     keyed = base.select("*", *(c.alias(f"__{n}") for n, c in zip(KNOWN, known(text), strict=True)))
     joined = join_checked(keyed, drops, (F.col("__h") == F.col("__hd")) & (F.col("__g") == F.col("__gd")), "left")
-    lines = F.split(text, "\n", -1)
+    joined = joined.withColumn("__ls", F.split(text, "\n", -1))  # once, not for each line that is kept
+    lines = F.col("__ls")
     n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drops")
     clean = F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
