@@ -393,6 +393,27 @@ def test_simhash_components_against_brute_force(spark, docs, rows):
     assert near_duplicates(empty(docs), shingle=3).count() == 0
 
 
+def test_the_simhash_and_token_queries_against_brute_force(spark, tmp_path, rows):
+    from heliograph.llm.pretok import library
+    from heliograph.llm.simhash import op6_byte_position_simhash
+    from heliograph.llm.token_counts import op10_pretoken_counts
+
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def fingerprint(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(TR))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << i for i in range(64) if sum(x >> i & 1 for x in h) * 2 > len(h))
+
+    prints = {i: fingerprint(t) for i, t in rows if i is not None}
+    parts = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    got = Counter(map(tuple, op6_byte_position_simhash(spark, str(tmp_path)).where("doc_id is not null").collect()))
+    assert got == Counter((i, f"{prints[i]:016x}", parts[i]) for i, _ in rows if i is not None)
+    tok = library(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    count = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
+    assert Counter(map(tuple, op10_pretoken_counts(spark, str(tmp_path)).collect())) == Counter((i, len((t or "").encode()), count(t), count(t) > 2048) for i, t in rows)
+
+
 def test_simhash_links_are_all_pairs_within_two_bits(spark):
     from heliograph.llm.simhash import links
 
@@ -546,6 +567,15 @@ def test_line_templates_drop_recurring_lines_only(spark):
     assert drop_templates(df.limit(0)).count() == 0
 
 
+def test_texts_that_share_their_first_hash_lose_their_own_lines_only(spark, monkeypatch):
+    from heliograph.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "known", lambda text: [F.lit(7).cast("long").alias("h"), F.hash(F.lit("text"), text).alias("g")])
+    rows = [(i, f"own words of text number {'abcdefghijklmnopqrstuvwxyz'[i]} here\nthe very same old footer line") for i in range(26)] + [(99, "a\nb\nc d e f g")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=20).collect()}
+    assert got[0] == rows[0][1] and all("footer" not in got[i] for i in range(1, 26)) and got[99] == rows[26][1]
+
+
 @pytest.mark.parametrize("n", [300, 30_000])
 def test_line_templates_have_word_fields_at_every_size(spark, n):
     from heliograph.llm.line_dedup import drop_templates
