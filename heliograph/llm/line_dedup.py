@@ -62,7 +62,8 @@ def dropped_lines(
     # hashed before the lines part, or every line would carry its whole text along to be hashed
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), *known(text), F.split(text, "\n", -1).alias("ls"))
     rows = rows.select("d", *KNOWN, F.posexplode("ls").alias("no", "line"))
-    lines = rows.withColumn("t", tokens_of(F.col("line"))).where(F.size("t") >= min_tokens)
+    # as a generated column, for a filter on an expression would have it worked out twice
+    lines = rows.select("*", F.explode(F.array(tokens_of(F.col("line")))).alias("t")).where(F.size("t") >= min_tokens)
     lines = lines.withColumn("node", F.xxhash64(F.size("t"), F.slice("t", 1, depth)))
     words = F.xxhash64(F.lit("words"), F.array_remove(F.split("line", GAPS), ""))
     index = scratch.table(lines.select("d", *KNOWN, "no", "node", F.when(F.size("t") > long_tokens, words).alias("words")), "index")
