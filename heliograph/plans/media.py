@@ -12,9 +12,6 @@ from heliograph.plans.registry import query
 from heliograph.sources.headers import described
 from heliograph.storage import Scratch
 
-ID = F.col("doc_id")
-
-
 def _number(x: Column | int, size: int = 4, big: bool = True) -> Column:
     """A whole number as hex digits of ``size`` bytes in either byte order."""
     if isinstance(x, int):
@@ -36,18 +33,19 @@ def _bytes_of(digits: Column) -> Column:
 
 def _tiff_block(big: bool) -> Column:
     """A TIFF block of 8 + 102 + 40 + 18 + 20 + 54 + 48 bytes, its directories one after the other, as hex digits."""
-    moment = F.timestamp_add("HOUR", F.pmod(ID, F.lit(200_000)).cast("int"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    i = F.col("doc_id")
+    moment = F.timestamp_add("HOUR", F.pmod(i, F.lit(200_000)).cast("int"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
     stamp = lambda t: _ascii(F.date_format(t, "yyyy:MM:dd HH:mm:ss"), 20)
     junk = _ascii("0000:00:00 00:00:00", 20)
     n = lambda x, size=4: _number(x, size, big)
     entry = lambda tag, kind, count, value: [n(tag, 2), n(kind, 2), n(count), value]
     letter = lambda c, a, b: F.when(c, _ascii(a, 4)).otherwise(_ascii(b, 4))
-    over = F.when(ID % 13 == 0, n(0)).otherwise(n(100))
-    angle = lambda whole: [n(ID % whole), n(1), n(ID % 60), n(1), n(ID % 6000), over]
-    main = entry(256, 4, 1, n(ID % 4000 + 1)) + entry(257, 4, 1, n(ID % 3000 + 1)) + entry(271, 2, 8, n(110)) + entry(272, 2, 12, n(118))
-    main += [*entry(274, 3, 1, n(ID % 8 + 1, 2)), F.lit("0000"), *entry(306, 2, 20, n(130)), *entry(34665, 4, 1, n(150)), *entry(34853, 4, 1, n(188))]
-    gps = entry(1, 2, 2, letter(ID % 2 == 1, "S", "N")) + entry(2, 5, 3, n(242)) + entry(3, 2, 2, letter(ID % 3 == 0, "W", "E")) + entry(4, 5, 3, n(266))
-    taken, original = F.when(ID % 12 == 0, junk).otherwise(stamp(moment)), F.when(ID % 6 == 0, junk).otherwise(stamp(moment + F.expr("INTERVAL 1 DAY")))
+    over = F.when(i % 13 == 0, n(0)).otherwise(n(100))
+    angle = lambda whole: [n(i % whole), n(1), n(i % 60), n(1), n(i % 6000), over]
+    main = entry(256, 4, 1, n(i % 4000 + 1)) + entry(257, 4, 1, n(i % 3000 + 1)) + entry(271, 2, 8, n(110)) + entry(272, 2, 12, n(118))
+    main += [*entry(274, 3, 1, n(i % 8 + 1, 2)), F.lit("0000"), *entry(306, 2, 20, n(130)), *entry(34665, 4, 1, n(150)), *entry(34853, 4, 1, n(188))]
+    gps = entry(1, 2, 2, letter(i % 2 == 1, "S", "N")) + entry(2, 5, 3, n(242)) + entry(3, 2, 2, letter(i % 3 == 0, "W", "E")) + entry(4, 5, 3, n(266))
+    taken, original = F.when(i % 12 == 0, junk).otherwise(stamp(moment)), F.when(i % 6 == 0, junk).otherwise(stamp(moment + F.expr("INTERVAL 1 DAY")))
     return F.concat(
         F.lit("4D4D002A" if big else "49492A00"), n(8), n(8, 2), *main, n(0), _ascii(F.col("lang"), 8), _ascii(F.concat(F.lit(" "), "source"), 12), taken,
         n(1, 2), *entry(36867, 2, 20, n(168)), n(0), original, n(4, 2), *gps, n(0), *angle(100), *angle(180),
@@ -56,8 +54,9 @@ def _tiff_block(big: bool) -> Column:
 
 def image_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content): a JPEG, PNG, WebP, TIFF, GIF or HEIF file of every document; some cut short, some plain text, some nothing."""
-    width, height, tiff = ID % 4000 + 1, ID % 3000 + 1, F.col("tiff")
-    docs = P.read(spark, d, "documents").select(ID, "text", F.when(ID % 6 < 4, F.when(ID % 3 == 0, _tiff_block(True)).otherwise(_tiff_block(False))).alias("tiff"))
+    i = F.col("doc_id")
+    width, height, tiff = i % 4000 + 1, i % 3000 + 1, F.col("tiff")
+    docs = P.read(spark, d, "documents").select(i, "text", F.when(i % 6 < 4, F.when(i % 3 == 0, _tiff_block(True)).otherwise(_tiff_block(False))).alias("tiff"))
     n = _number
     chunk = lambda name, body: [n(_bytes_of(body)), _ascii(name), body, F.lit("00000000")]
     box = lambda name, size, body: [n(size + 8), _ascii(name), *body]
@@ -69,10 +68,10 @@ def image_files(spark: SparkSession, d: str) -> DataFrame:
     forms = [jpeg, png, webp, [tiff], gif, heif]
     digits = F.lit(None)
     for k, parts in enumerate(forms):
-        digits = F.when(ID % 6 == k, F.concat(*parts)).otherwise(digits)
-    files = docs.select(ID, "text", F.unhex(digits).alias("whole"))
-    content = F.when(ID % 19 == 0, None).when(ID % 17 == 0, F.col("text").cast("binary")).when(ID % 11 == 0, F.substring("whole", 1, 20)).otherwise(F.col("whole"))
-    return files.select(ID.cast("string").alias("path"), content.alias("content"))
+        digits = F.when(i % 6 == k, F.concat(*parts)).otherwise(digits)
+    files = docs.select(i, "text", F.unhex(digits).alias("whole"))
+    content = F.when(i % 19 == 0, None).when(i % 17 == 0, F.col("text").cast("binary")).when(i % 11 == 0, F.substring("whole", 1, 20)).otherwise(F.col("whole"))
+    return files.select(i.cast("string").alias("path"), content.alias("content"))
 
 
 @query(
@@ -100,7 +99,7 @@ def _(spark, d):
 
 def pictures(spark: SparkSession, d: str) -> DataFrame:
     """(id, pixels): a grey picture of every text, one hexadecimal digit a pixel, line by line from a digest of the text and the line."""
-    docs = P.read(spark, d, "documents").where("text is not null").select(ID.alias("id"), F.md5(F.lower("text").cast("binary")).alias("m"))
+    docs = P.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.md5(F.lower("text").cast("binary")).alias("m"))
     lines = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda y: F.md5(F.concat("m", y.cast("string")).cast("binary")))
     digit = lambda line, x: F.conv(F.substr(line, x, F.lit(1)), 16, 10).cast("int")
     return docs.select("id", F.flatten(F.transform(lines, lambda line: F.transform(F.sequence(F.lit(1), F.lit(SIDE)), lambda x: digit(line, x)))).alias("pixels"))

@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from conftest import ROOT
 from heliograph.plans import registry
 
 
@@ -25,6 +26,14 @@ def test_query(name, spark, data, duck):
     assert got == sorted((tuple(norm(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
