@@ -2,6 +2,7 @@
 
 import duckdb
 
+from heliograph.operators import groups as G
 from heliograph.plans import registry
 
 
@@ -12,3 +13,16 @@ def test_byte_sizes_beyond_a_terabyte_follow_the_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.sql(registry.SQL["x12_format_bytes"]).fetchall())
     assert sorted(map(tuple, registry.QUERIES["x12_format_bytes"](spark, str(tmp_path)).collect())) == want
+
+
+def _static_plan(df):
+    """The physical plan as it is made before anything runs."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_exploded_hashes_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "xxhash64(id) AS phash", "'active' AS status").write.parquet(f"{tmp_path}/photos")
+    p = spark.read.parquet(f"{tmp_path}/photos")
+    for threshold in (1, 6):
+        assert "Broadcast" not in _static_plan(G.hamming_links(p.select("phash"), threshold))
+        assert "Broadcast" not in _static_plan(G.band_neighbours(p, p.where("id % 7 = 3"), threshold))
