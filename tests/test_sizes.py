@@ -1,7 +1,13 @@
 """Results and plans that only larger tables than the test data show."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
 
+from heliograph.functions.pictures import hash_of, with_perceptual_hash
 from heliograph.operators import groups as G
 from heliograph.plans import registry
 
@@ -26,3 +32,23 @@ def test_exploded_hashes_are_not_broadcast(spark, tmp_path):
     for threshold in (1, 6):
         assert "Broadcast" not in _static_plan(G.hamming_links(p.select("phash"), threshold))
         assert "Broadcast" not in _static_plan(G.band_neighbours(p, p.where("id % 7 = 3"), threshold))
+
+
+def test_picture_hashes_take_little_memory_for_a_batch():
+    class Caught:
+        """Stands for a DataFrame and hands out the function that its tasks would run."""
+
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("pixels", T.ArrayType(T.IntegerType()))])
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    pixels = np.random.default_rng(1).integers(0, 256, (10_000, 1024), np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(10_001, dtype=np.int32) * 1024), pa.array(pixels.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), lists], ["id", "pixels"])
+    run = with_perceptual_hash(Caught())
+    tracemalloc.start()
+    got = next(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column(1).to_pylist() == hash_of(pixels.reshape(-1, 32, 32)).tolist()
+    assert peak < 64 << 20
