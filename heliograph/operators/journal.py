@@ -59,25 +59,31 @@ class Journal:
     def run(self, photos: DataFrame, perform: Callable[[str, str], None] | None = None, together: int = 50, stop_after: int | None = None) -> int:
         """Carry out what is left, ``together`` batches a job; returns how many jobs it took.
 
-        A move whose photo is no longer active at its source fails, and so does one that
-        ``perform(src, dest)`` refuses, in its task; the others go on.
+        A move whose photo is no longer active at its source when the run starts fails, and so
+        does one that ``perform(src, dest)`` refuses, in its task; the others go on.  Plan and
+        photos are read once a run, and every job reads its own folder of what that gives.
         """
         plan = self.spark.read.parquet(f"{self.base}/plan")
         last = plan.agg(F.max("batch")).first()[0]
-        complete, jobs = set(self.done()), 0
-        for first in range(0, -1 if last is None else last + 1, together):
-            if first in complete:
-                continue
-            if stop_after is not None and jobs == stop_after:
-                break
-            now = photos.where("status = 'active'").select("id", F.col("path").alias("src"), F.lit(True).alias("there"))
-            own = plan.where(F.col("batch").between(first, first + together - 1)).join(now, ["id", "src"], "left")
-            own = own.select("id", "src", "dest", "size_bytes", F.when(F.col("there").isNull(), "photo changed since planning").alias("error"))
+        complete = set(self.done())
+        todo = [first for first in range(0, -1 if last is None else last + 1, together) if first not in complete][:stop_after]
+        if not todo:
+            return 0
+        ready = f"{Scratch(self.spark, 'ready').base}/moves"
+        first = F.col("batch") - F.pmod("batch", F.lit(together))
+        own = plan.withColumn("first", first).where(F.col("first").between(todo[0], todo[-1]))
+        own = own.join(self.spark.createDataFrame([(x,) for x in todo], "first long"), "first", "left_semi")
+        now = photos.where("status = 'active'").select("id", F.col("path").alias("src"), F.lit(True).alias("there"))
+        own = own.join(now, ["id", "src"], "left").withColumn("error", F.when(F.col("there").isNull(), "photo changed since planning"))
+        # a folder a job, of about 10,000 moves a file
+        own = own.repartition("first", F.floor(F.col("batch") * self.size / 10_000)).select("id", "src", "dest", "size_bytes", "error", "first")
+        own.write.partitionBy("first").parquet(ready)
+        for k in todo:
+            own = self.spark.read.schema(OUTCOME).parquet(f"{ready}/first={k}")
             if perform:
                 own = own.mapInArrow(_performed(perform), OUTCOME)
-            own.write.mode("overwrite").parquet(f"{self.base}/batches/from={first}")
-            jobs += 1
-        return jobs
+            own.write.mode("overwrite").parquet(f"{self.base}/batches/from={k}")
+        return len(todo)
 
     def outcome(self) -> DataFrame:
         """(id, src, dest, size_bytes, error) of all complete batches."""

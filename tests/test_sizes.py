@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from heliograph.functions.pictures import hash_of, with_perceptual_hash
 from heliograph.operators import groups as G
+from heliograph.operators.journal import Journal
 from heliograph.plans import registry
 
 
@@ -52,3 +53,22 @@ def test_picture_hashes_take_little_memory_for_a_batch():
     tracemalloc.stop()
     assert got.column(1).to_pylist() == hash_of(pixels.reshape(-1, 32, 32)).tolist()
     assert peak < 64 << 20
+
+
+def test_a_run_reads_photos_once_whatever_the_jobs(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = [(i, f"/a/{i:03}", "active" if i % 10 else "missing") for i in range(100)]
+    photos = spark.createDataFrame(rows, "id long, path string, status string").mapInArrow(seen, "id long, path string, status string")
+    journal = Journal(spark, f"file://{tmp_path}/journal", size=5)
+    journal.plan(spark.createDataFrame([(i, f"/a/{i:03}", f"/b/{i:03}", 1) for i in range(100)], "id long, src string, dest string, size_bytes long"))
+    assert journal.run(photos, together=2, stop_after=1) == 1 and journal.done() == [0]
+    assert journal.run(photos, together=2) == 9 and journal.run(photos, together=2) == 0
+    found = {r.id: r.error for r in journal.outcome().collect()}
+    assert len(found) == 100 and {i for i, e in found.items() if e} == set(range(0, 100, 10))
+    assert reads.value <= 200
