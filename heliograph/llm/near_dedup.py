@@ -1,4 +1,9 @@
-"""Near-dedup of texts: prefixes of shingle sets find candidates, the whole sets verify them.
+"""Near-dedup of texts: an index of fingerprint bytes finds near copies first, prefixes of shingle sets those it misses; whole sets verify all.
+
+The first step is that of ``simhash``: fingerprints within two bits meet in its inverted
+index of positional bytes and pass its count filter.  Texts at Jaccard t may differ in
+more bits, so no index of bytes finds all of them; the prefixes below find the rest, and
+members that the index has joined are not held against each other again.
 
 Texts are classed by two independent 64-bit hashes of their distinct five-word shingles; all
 else is done once a class.  All shingles have one order (frequent ones of a sample last, else that of their
@@ -19,7 +24,8 @@ groups are held against each other, and long lists are split over tasks.  As suc
 are alike, a bitmap of each set goes along, a bit of which says whether an odd number of
 shingles fall on it: sets that differ in d shingles differ in at most d bits, so a pair
 whose bitmaps differ in more bits than near copies may have shingles is left out before it
-is made (the bitmap filter of Sandes et al.).
+is made (the bitmap filter of Sandes et al.).  All other candidates pass the same filter
+before their whole sets are fetched, since sets take many times a bitmap's bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.simhash import fingerprint_of, links as fingerprint_links, majority
 from heliograph.llm.tables import tidy
 from heliograph.llm.wordscan import chunks, mixed, range_hashes, window_hashes
 from heliograph.operators.components import connected_components
@@ -74,7 +81,7 @@ def _each(texts: list[str]):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By id: two hashes of the set of shingles, how many they are, 32 bits of each in order, and the set's bitmap."""
+    """By id: two hashes of the set of shingles, how many they are, 32 bits of each in order, the set's bitmap, and the text's fingerprint."""
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         keys, checks = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
@@ -87,9 +94,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = np.unique((own >> np.uint64(32)).astype("<u4"))
             sizes[i], rows[i] = len(short), short.tobytes()
             maps[i] = np.bincount(short % (64 * LONGS), minlength=64 * LONGS) & 1
+        prints = [majority([fingerprint_of(t, 3) for t in texts[a:b]]) for a, b in chunks([len(t) for t in texts], 1 << 20)]
+        fp = pa.array(np.concatenate(prints) if prints else np.empty(0, np.int64), pa.int64())
         longs = np.packbits(maps, axis=1, bitorder="little").view("<i8").ravel()
         odd = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * LONGS), pa.array(longs))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(sizes), pa.array(rows, pa.binary()), odd], ["id", "c", "check", "n", "shingles", "odd"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.view(np.int64)), pa.array(checks.view(np.int64)), pa.array(sizes), pa.array(rows, pa.binary()), odd, fp], ["id", "c", "check", "n", "shingles", "odd", "fp"])
 
 
 def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +159,23 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return late[order], rank[order]
 
 
+def _alike(n: str, m: str, a: str, b: str, similarity: float) -> Column:
+    """Whether sets of n and m shingles with the bitmaps a and b can be near copies."""
+    both = F.col(n) + F.col(m)
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    return differ <= both - 2 * F.ceil(both * F.lit(similarity / (1 + similarity)) - 1e-9)
+
+
+def _by_fingerprint(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(src, dst) of classes whose fingerprints the index of positional bytes links; those of one fingerprint are held against its first."""
+    prints = scratch.table(sets.groupBy("fp").agg(F.min("c").alias("first")), "prints")
+    near = scratch.table(fingerprint_links(prints), "near")
+    end = lambda fp, c: prints.select(F.col("fp").alias(fp), F.col("first").alias(c))
+    across = near.toDF("x", "y").join(end("x", "a"), "x").join(end("y", "b"), "y")
+    within = sets.select("fp", F.col("c").alias("a")).join(prints.select("fp", F.col("first").alias("b")), "fp").where("a <> b")
+    return across.select("a", "b").unionByName(within.select("a", "b")).select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
+
+
 def _groups(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, component) of the classes that have a near copy."""
 
@@ -161,22 +187,34 @@ def _groups(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.table(pairs, f"{name}_pairs")
-        both = pairs.join(sets.select(F.col("c").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("c").alias("dst"), F.col("shingles").alias("b")), "dst")
-        links = scratch.table(both.select("src", "dst", "a", "b").mapInArrow(tidy(_verified(similarity)), "src long, dst long"), f"{name}_links")
+        slim = lambda end, n, odd: sets.select(F.col("c").alias(end), F.col("n").alias(n), F.col("odd").alias(odd))
+        likely = pairs.join(slim("src", "n", "a"), "src").join(slim("dst", "m", "b"), "dst").where(_alike("n", "m", "a", "b", similarity)).select("src", "dst")
+        likely = scratch.table(likely, f"{name}_likely")
         scratch.drop(f"{name}_pairs")
+        # only the sets of such pairs are shuffled
+        ends = scratch.table(likely.select(F.col("src").alias("c")).union(likely.select("dst")).distinct(), f"{name}_ends")
+        held = scratch.table(join_checked(sets.select("c", "shingles"), ends, "c", "left_semi"), f"{name}_sets")
+        side = lambda end, x: held.select(F.col("c").alias(end), F.col("shingles").alias(x))
+        both = likely.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+        links = scratch.table(both.select("src", "dst", "a", "b").mapInArrow(tidy(_verified(similarity)), "src long, dst long"), f"{name}_links")
+        for x in ("likely", "ends", "sets"):
+            scratch.drop(f"{name}_{x}")
         return links
 
+    by_bytes = scratch.table(connected_components(verified(_by_fingerprint(sets, scratch), "bytes")), "by_bytes")
+    scratch.drop("bytes_links")
     last = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
     prefixes = sets.where("n > 0").select("c", "n", "shingles").mapInArrow(tidy(_prefixes(similarity, last)), "c long, n int, indexed int, keys array<int>")
-    prefixes = scratch.table(prefixes, "prefixes").select("c", "n", "indexed", F.posexplode("keys").alias("at", "key"))
-    lists = prefixes.select("key", F.struct("c", "n", "at").alias("s"), (F.col("at") < F.col("indexed")).alias("indexed"))
+    prefixes = prefixes.join(by_bytes.withColumnRenamed("node", "c"), "c", "left").select("c", "n", "indexed", "keys", F.coalesce("component", "c").alias("g"))
+    prefixes = scratch.table(prefixes, "prefixes").select("c", "n", "indexed", "g", F.posexplode("keys").alias("at", "key"))
+    lists = prefixes.select("key", F.struct("c", "n", "at").alias("s"), (F.col("at") < F.col("indexed")).alias("indexed"), "g")
     shared = lists.groupBy("key").agg(F.count("*").cast("int").alias("held"), F.max("indexed").alias("any")).where("held > 1 and any").drop("any")
     lists = scratch.table(lists.join(shared, "key"), "lists")
     scratch.drop("prefixes")
     few = lists.where(F.col("held") <= CROWD)
-    pairs = few.select("key", F.col("s").alias("x")).join(few.where("indexed").select("key", F.col("s").alias("y")), "key").where(meet("x", "y"))
+    pairs = few.select("key", F.col("s").alias("x"), "g").join(few.where("indexed").select("key", F.col("s").alias("y"), F.col("g").alias("h")), "key").where((F.col("g") != F.col("h")) & meet("x", "y"))
     links = verified(pairs.select(F.col("x.c").alias("src"), F.col("y.c").alias("dst")).distinct(), "few")
-    found, past = scratch.table(connected_components(links), "found"), "found"
+    found, past = scratch.table(connected_components(links.unionByName(by_bytes.toDF("src", "dst"))), "found"), "found"
     scratch.drop("few_links")
 
     open_lists = lists.where(F.col("held") > CROWD).select("key", "s", "indexed")
@@ -218,9 +256,7 @@ def _across(rest: DataFrame, meet, similarity: float) -> DataFrame:
     rest = rest.join(largest, "key").withColumn("inner", F.col("g") == F.col("top"))
     y = rest.where("indexed").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "part", F.col("s").alias("y"), F.col("g").alias("h"), F.col("inner").alias("y_inner"))
     x = rest.withColumn("part", F.pmod(F.xxhash64("s.c"), F.col("parts")).cast("int")).select("key", "part", F.col("s").alias("x"), "g", F.col("inner").alias("x_inner"))
-    both = F.col("x.n") + F.col("y.n")
-    differ = sum((F.bit_count(F.get("x.odd", F.lit(i)).bitwiseXOR(F.get("y.odd", F.lit(i)))) for i in range(LONGS)), F.lit(0))
-    good = (F.col("g") != F.col("h")) & meet("x", "y") & (differ <= both - 2 * F.ceil(both * F.lit(similarity / (1 + similarity)) - 1e-9))
+    good = (F.col("g") != F.col("h")) & meet("x", "y") & _alike("x.n", "y.n", "x.odd", "y.odd", similarity)
     met = x.join(y.where("not y_inner"), ["key", "part"]).where(good).unionByName(x.where("not x_inner").join(y.where("y_inner"), ["key", "part"]).where(good))
     return met.select(F.col("x.c").alias("src"), F.col("y.c").alias("dst"))
 
@@ -235,14 +271,14 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, text: str = "text",
     scratch = Scratch(docs.sparkSession, "copies")
     slim = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    rows = scratch.table(slim.mapInArrow(tidy(_sets), f"id {kind}, c long, check long, n int, shingles binary, odd array<long>"), "rows")
+    rows = scratch.table(slim.mapInArrow(tidy(_sets), f"id {kind}, c long, check long, n int, shingles binary, odd array<long>, fp long"), "rows")
     classes = scratch.table(rows.groupBy("c").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high")), "classes")
     clashes = classes.where("low < high").select("c", "low")
     if clashes.limit(1).count():  # sets of one first hash that are not the same: all but one get another
         rows = join_checked(rows, scratch.table(clashes, "clashes"), "c", "left").withColumn("c", F.when(F.col("check") != F.col("low"), F.xxhash64("c", "check")).otherwise(F.col("c"))).drop("low")
         classes = scratch.table(rows.groupBy("c").agg(F.min("id").alias("id")), "told_apart")
     classes = classes.select("c", "id")
-    sets = scratch.table(rows.join(classes, ["c", "id"], "left_semi").dropDuplicates(["c"]).select("c", "n", "shingles", "odd"), "sets")
+    sets = scratch.table(rows.join(classes, ["c", "id"], "left_semi").dropDuplicates(["c"]).select("c", "n", "shingles", "odd", "fp"), "sets")
     rows = scratch.table(rows.select("id", "c"), "ids")
     scratch.drop("rows")  # the sets are written once more by class; this is most of the space
     found = _groups(sets, similarity, scratch)

@@ -941,3 +941,17 @@ def test_queries_and_sql_agree(spark, data, duck):
         want = duck.sql(sql)
         at = [want.columns.index(c) for c in got.columns]
         assert sorted(map(tuple, got.collect())) == sorted(tuple(r[i] for i in at) for r in want.fetchall())
+
+
+def test_near_copies_come_through_the_index_of_fingerprint_bytes(spark, monkeypatch):
+    """What the index links and the sets confirm is joined even where the prefixes find nothing; what they don't confirm is not."""
+    from heliograph.llm import near_dedup
+
+    rng = random.Random(31)
+    base = [prose(rng, 2000) for _ in range(6)]
+    texts = base + [" ".join([*t.split()[:-1], "other"]) for t in base] + ["la " * 500 + prose(rng, 400) for _ in range(2)]
+    nothing = lambda threshold, last: lambda batches: iter(())
+    monkeypatch.setattr(near_dedup, "_prefixes", nothing)
+    got, want = groups_and_brute_force(spark, texts)
+    assert sum(got[i + 6] == i for i in range(6)) >= 4 and all(got[i] in (i, want[i]) for i in got)
+    assert want[12] == got[12] == 12 and want[13] == got[13] == 13
