@@ -5,6 +5,7 @@ import tracemalloc
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import types as T
 
 from heliograph.functions.pictures import hash_of, with_perceptual_hash
@@ -35,6 +36,43 @@ def test_exploded_hashes_are_not_broadcast(spark, tmp_path):
         assert "Broadcast" not in _static_plan(G.band_neighbours(p, p.where("id % 7 = 3"), threshold))
 
 
+def _largest_method(df):
+    """Bytes of code in the largest method that Spark makes for the joins of ``df``; over 8,000 the JVM interprets it."""
+    debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(x._3().maxMethodCodeSize() for x in map(made.apply, range(made.size())) if "SortMergeJoin" in x._1())
+
+
+def _joined_rows(df):
+    """The most rows that a join of ``df`` has put out, by its metrics."""
+
+    def walk(node):
+        own = [node.metrics().get("numOutputRows").get().value()] if node.nodeName().endswith("Join") else []
+        return max(own + [walk(node.children().apply(i)) for i in range(node.children().size())], default=0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture
+def as_planned(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_joins_of_hamming_links_are_compiled(spark, tmp_path, as_planned):
+    spark.range(100).selectExpr("xxhash64(id) AS phash").write.parquet(f"{tmp_path}/hashes")
+    hashes = spark.read.parquet(f"{tmp_path}/hashes")
+    assert max(_largest_method(G.hamming_links(hashes, t)) for t in (1, 6)) < 8000
+
+
+def test_neighbours_of_copies_are_joined_once(spark, tmp_path, as_planned):
+    spark.range(100).selectExpr("id", "12345L AS phash", "'active' AS status").write.parquet(f"{tmp_path}/photos")
+    p = spark.read.parquet(f"{tmp_path}/photos")
+    found = G.band_neighbours(p, p.where("id < 50"))
+    assert len(found.collect()) == 50 * 99 and _joined_rows(found) <= 50 * 100
+
+
 def test_picture_hashes_take_little_memory_for_a_batch():
     class Caught:
         """Stands for a DataFrame and hands out the function that its tasks would run."""
