@@ -36,6 +36,12 @@ def test_exploded_hashes_are_not_broadcast(spark, tmp_path):
         assert "Broadcast" not in _static_plan(G.band_neighbours(p, p.where("id % 7 = 3"), threshold))
 
 
+def test_groups_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "string(id div 2) AS sha256", "xxhash64(id div 4) AS phash", "id AS size_bytes", "1 AS width", "1 AS height", "'active' AS status").write.parquet(f"{tmp_path}/photos")
+    found = G.derive_groups(spark.read.parquet(f"{tmp_path}/photos"))
+    assert len(found.collect()) == 4000 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def _largest_method(df):
     """Bytes of code in the largest method that Spark makes for the joins of ``df``; over 8,000 the JVM interprets it."""
     debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
