@@ -155,7 +155,7 @@ def import_state(spark, d):
     before = scratch.table(G.derive_groups(p.where("id % 50 <> 7")), "before")
     heads = before.groupBy("kind", "key").agg(F.max("keeper_photo_id").alias("keeper_photo_id"))
     stored = scratch.table(heads.select(F.xxhash64("kind", "key").alias("id"), "kind", "key", F.lit("pending").alias("status"), "keeper_photo_id"), "stored")
-    members = before.join(stored.select("id", "kind", "key"), ["kind", "key"]).select(F.col("id").alias("group_id"), "photo_id", "similarity_pct")
+    members = before.join(stored.select("id", "kind", "key").hint("merge"), ["kind", "key"]).select(F.col("id").alias("group_id"), "photo_id", "similarity_pct")
     return p, p.where("id % 50 = 7").select("id"), stored, scratch.table(members, "members")
 
 

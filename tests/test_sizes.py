@@ -12,6 +12,7 @@ from heliograph.functions.pictures import hash_of, with_perceptual_hash
 from heliograph.operators import groups as G
 from heliograph.operators.journal import Journal
 from heliograph.plans import registry
+from heliograph.storage import Scratch
 
 
 def test_byte_sizes_beyond_a_terabyte_follow_the_sql(spark, tmp_path):
@@ -42,6 +43,26 @@ def test_groups_are_not_broadcast(spark, tmp_path):
     assert len(found.collect()) == 4000 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def _written_plans(monkeypatch):
+    """A list that gets the plan of every table written from now on, as it is made before anything runs."""
+    plans, write = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (plans.append(_static_plan(df)), write(self, df, name))[1])
+    return plans
+
+
+def test_derived_groups_work_out_hashes_once_and_broadcast_nothing(spark, data, monkeypatch):
+    plans = _written_plans(monkeypatch)
+    plans.append(_static_plan(registry.QUERIES["a19_derived_groups"](spark, data)))
+    assert sum("array_distinct" in p for p in plans) == 1 and "array_distinct" not in plans[-1]
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_bounded_rebuild_broadcasts_nothing(spark, data, monkeypatch):
+    plans = _written_plans(monkeypatch)
+    plans.append(_static_plan(registry.QUERIES["a20_bounded_rebuild"](spark, data)))
+    assert len(plans) > 8 and not [p for p in plans if "Broadcast" in p]
+
+
 def _largest_method(df):
     """Bytes of code in the largest method that Spark makes for the joins of ``df``; over 8,000 the JVM interprets it."""
     debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
