@@ -278,9 +278,10 @@ def near_copies(docs: DataFrame, *, similarity: float = 0.8, text: str = "text",
         rows = join_checked(rows, scratch.table(clashes, "clashes"), "c", "left").withColumn("c", F.when(F.col("check") != F.col("low"), F.xxhash64("c", "check")).otherwise(F.col("c"))).drop("low")
         classes = scratch.table(rows.groupBy("c").agg(F.min("id").alias("id")), "told_apart")
     classes = classes.select("c", "id")
-    sets = scratch.table(rows.join(classes, ["c", "id"], "left_semi").dropDuplicates(["c"]).select("c", "n", "shingles", "odd", "fp"), "sets")
+    # all rows of a class have its set, so that any of them will do and sets are shuffled once
+    sets = scratch.table(rows.groupBy("c").agg(*(F.first(x).alias(x) for x in ("n", "shingles", "odd")), F.min("fp").alias("fp")), "sets")
     rows = scratch.table(rows.select("id", "c"), "ids")
-    scratch.drop("rows")  # the sets are written once more by class; this is most of the space
+    scratch.drop("rows")  # the sets are written once more by class; this and their shuffle are most of the space
     found = _groups(sets, similarity, scratch)
     named = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("component", "c").alias("g"))
     named = scratch.table(named, "named")

@@ -955,3 +955,16 @@ def test_near_copies_come_through_the_index_of_fingerprint_bytes(spark, monkeypa
     got, want = groups_and_brute_force(spark, texts)
     assert sum(got[i + 6] == i for i in range(6)) >= 4 and all(got[i] in (i, want[i]) for i in got)
     assert want[12] == got[12] == 12 and want[13] == got[13] == 13
+
+
+def test_sets_of_shingles_are_shuffled_once_to_have_one_a_class(spark, monkeypatch):
+    from heliograph.storage import Scratch
+
+    plans, write = {}, Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), write(self, df, name))[1])
+    rng = random.Random(11)
+    base = [prose(rng, 40) for _ in range(20)]
+    texts = [*base, *base, *(f"{t} {t}" for t in base[:5]), *(f" {t}  " for t in base)]  # copies, some with other repeats or spaces
+    got, want = groups_and_brute_force(spark, texts)
+    assert got == want and sum(got[i] < i for i in got) >= 40
+    assert plans["sets"].count("Exchange") == 1 and "Join" not in plans["sets"]
