@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import types as T
 
 from heliograph.functions.pictures import hash_of, with_perceptual_hash
-from heliograph.operators import groups as G
+from heliograph.operators import components, groups as G
+from heliograph.operators.components import connected_components
 from heliograph.operators.journal import Journal
 from heliograph.plans import registry
 from heliograph.storage import Scratch
@@ -137,3 +138,25 @@ def test_a_run_reads_photos_once_whatever_the_jobs(spark, tmp_path):
     found = {r.id: r.error for r in journal.outcome().collect()}
     assert len(found) == 100 and {i for i, e in found.items() if e} == set(range(0, 100, 10))
     assert reads.value <= 200
+
+
+@pytest.mark.parametrize("few", [0, components.FEW_EDGES])
+def test_rounds_of_components_have_few_tasks_whatever_the_shuffle_partitions(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    edges = [(i, i + 1) for i in range(100, 108)] + [(500, 500 + k) for k in range(1, 50)]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(f"components {few}", "")
+    try:
+        got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**{i: 100 for i in range(100, 109)}, **{500 + k: 500 for k in range(50)}}
+    known = spark.sparkContext.statusTracker()
+    stages = [known.getStageInfo(s) for j in known.getJobIdsForGroup(f"components {few}") for s in known.getJobInfo(j).stageIds]
+    wide = sum(s.numCompletedTasks >= 40 for s in stages if s)
+    assert len(stages) > 10 and wide <= 4, (len(stages), wide)  # only where the number of edges isn't known yet, and the result
